@@ -7,10 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bytebpe, tokencount
+from textloom.llm import bytebpe, fertility, simhash, tokencount
 from textloom.llm.common import table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -20,14 +21,26 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.digests(encoded, BYTE_RANKS)
 
 
+def op2_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judges every document by its fertility."""
+    return fertility.judge(table(spark, sf_dir, "documents"), PIECE_BPE)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts the tokens of every document."""
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), WORD_BPE, limit=2048)
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and near-duplicate components of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_fertility": op2_fertility,
     "op4_token_counts": op4_token_counts,
+    "op8_simhash": op8_simhash,
 }
 
 ORACLES: dict[str, str] = {}
