@@ -27,6 +27,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return ends.where("u <> v").distinct()
 
 
+def _torn(edges: DataFrame) -> bool:
+    """Whether a node hangs on two others, or on a larger one."""
+    return not edges.groupBy("u").agg(F.count("v").alias("n"), F.max("v").alias("v")).where("n > 1 or v > u").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``edges(u, v)`` of one orderable type -> ``(node, root)`` for every node that has an edge to another.
 
@@ -34,12 +39,9 @@ def components(edges: DataFrame) -> DataFrame:
     Every round is a written table, so a lost executor costs one round at most. Rounds grow with the logarithm
     of the largest component."""
     now = written(edges.where("u <> v").select("u", "v").distinct(), "edges")
-    mark = None
-    while True:
+    while not now.join(now.select(F.col("v").alias("u")), "u", "left_semi").isEmpty() or _torn(now):
         following = written(_small_star(_large_star(now)), "stars")
         discard(now)
         now = following
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == mark:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        mark = seen
+    roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
