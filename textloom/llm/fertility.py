@@ -212,7 +212,7 @@ def judge(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
     limits = F.broadcast(written(bands(rows), "fertility-bands"))
     edges = [c for m in BANDS for c in (f"{m}_low", f"{m}_high")]
     joined = rows
-    for level, key in (("lang", F.col("lang")), ("script", F.col("script")), ("all", F.lit(""))):
+    for level, key in (("lang", F.col("lang")), ("script", F.col("script")), ("all", F.substring("script", 1, 0))):
         side = limits.where(F.col("level") == level).select(F.col("name").alias(f"__{level}"), *[F.col(c).alias(f"__{level}_{c}") for c in edges])
         joined = joined.join(side, key == F.col(f"__{level}"), "left")
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
