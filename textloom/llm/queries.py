@@ -7,17 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bytebpe, fertility, simhash, tokencount
+from textloom.llm import bytebpe, cnn, decontam, fertility, secrets, simhash, tokencount
 from textloom.llm.common import table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PATTERN = public_tokenizers.PATTERN
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every document."""
-    encoded = bytebpe.encode(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
+    encoded = bytebpe.encode(table(spark, sf_dir, "documents"), BYTE_RANKS, PATTERN)
     return bytebpe.digests(encoded, BYTE_RANKS)
 
 
@@ -31,16 +32,34 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), WORD_BPE, limit=2048)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finds every benchmark item in every document."""
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finds the secrets of every document."""
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints and near-duplicate components of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores every document by a network trained on the labelled ones that are not held out."""
+    return cnn.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_fertility": op2_fertility,
     "op4_token_counts": op4_token_counts,
+    "op5_decontamination": op5_decontamination,
+    "op6_secrets": op6_secrets,
     "op8_simhash": op8_simhash,
+    "op10_quality_cnn": op10_quality_cnn,
 }
 
 ORACLES: dict[str, str] = {}
