@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import KERNEL_BYTES, list_array, map_batches, slices
 
+#: Bytes of text that the library encodes at once; what it holds for each token takes many times the text.
+BATCH_BYTES = 1 << 18
 #: White space after anything else: whatever stands before it is split there by the usual patterns in any case.
 _CUT = re.compile(r"(?<=\S)(?=\s)")
 
@@ -95,7 +97,7 @@ def encode_texts(texts: list[str], rank_path: str, pattern: str, offsets: bool =
             at += len(part)
     ids: list[list] = [[] for _ in texts]
     spans: list[list] = [[] for _ in texts]
-    for run in slices([len(x) for x in parts]):
+    for run in slices([len(x) for x in parts], BATCH_BYTES):
         found = (tool.encode_batch if offsets else tool.encode_batch_fast)(parts[run], add_special_tokens=False)
         for i, at, one in zip(owner[run], shift[run], found, strict=True):
             ids[i].append(np.array(one.ids, dtype=np.int32))

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text handed to a native kernel at once; bounds what a Python worker holds beside its Arrow batch.
@@ -77,12 +78,27 @@ def list_array(parts: Sequence[np.ndarray], kind=pa.int32()) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, kind))
 
 
-def map_batches(df: DataFrame, columns: Sequence[str], schema: str, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> DataFrame:
-    """``mapInArrow`` over the named columns only; anything else the input has never leaves the JVM."""
+def small(batch: pa.RecordBatch, most: int = KERNEL_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose strings take at most ``most`` bytes together (one row may take more)."""
+    sizes = np.zeros(batch.num_rows, dtype=np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type):
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        elif pa.types.is_list(column.type):
+            sizes += 4 * pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    for run in slices(sizes.tolist(), most):
+        yield batch.slice(run.start, run.stop - run.start)
+
+
+def map_batches(df: DataFrame, columns: Sequence[str], schema, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> DataFrame:
+    """``mapInArrow`` over the named columns only; anything else the input has never leaves the JVM.
+
+    The kernel gets runs of rows of bounded size, so a worker's memory does not follow the size of Arrow's batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := kernel(batch)) is not None:
-                yield out
+            for part in small(batch):
+                if (out := kernel(part)) is not None:
+                    yield out
 
     return df.select(*columns).mapInArrow(run, schema)

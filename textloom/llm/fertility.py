@@ -149,21 +149,20 @@ def measures(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         words = vocabulary(model_path)
         rows = []
         texts = utf8(batch.column(1))
-        for part in slices([len(t) for t in texts]):
-            split = [t.split() for t in texts[part]]
-            distinct: set[bytes] = set()
-            distinct.update(*split)
-            words.learn(distinct)
-            for text, own in zip(texts[part], split, strict=True):
-                whole = text.decode()
-                ids = np.fromiter(map(words.number.__getitem__, own), dtype=np.int64, count=len(own))
-                tokens = words.tokens_of(ids)
-                chars = len(whole) - sum(map(whole.count, " \t\n\v\f\r"))
-                n = len(tokens)
-                rows.append((
-                    script_of(whole), len(own), chars, sum(map(whole.count, SYMBOLS)), dup_lines(text), repeat_words(np.unique(ids, return_inverse=True)[1]) if len(ids) else 0,
-                    n, chars / n if n else 0.0, float(words.is_byte[tokens].mean()) if n else 0.0, entropy(tokens),
-                ))
+        split = [t.split() for t in texts]
+        distinct: set[bytes] = set()
+        distinct.update(*split)
+        words.learn(distinct)
+        for text, own in zip(texts, split, strict=True):
+            whole = text.decode()
+            ids = np.fromiter(map(words.number.__getitem__, own), dtype=np.int64, count=len(own))
+            tokens = words.tokens_of(ids)
+            chars = len(whole) - sum(map(whole.count, " \t\n\v\f\r"))
+            n = len(tokens)
+            rows.append((
+                script_of(whole), len(own), chars, sum(map(whole.count, SYMBOLS)), dup_lines(text), repeat_words(np.unique(ids, return_inverse=True)[1]) if len(ids) else 0,
+                n, chars / n if n else 0.0, float(words.is_byte[tokens].mean()) if n else 0.0, entropy(tokens),
+            ))
         types = [pa.string()] + [pa.int64()] * 6 + [pa.float64()] * 3
         columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], [id_col, *[x.split()[0] for x in SCHEMA.split(", ")]])

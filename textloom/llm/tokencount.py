@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import discard, slices, utf8, written
+from textloom.llm.common import discard, slices, small, utf8, written
 
 TABLE_ENTRIES = 1 << 14
 SUMMARY_ENTRIES = 1 << 13
@@ -46,7 +46,7 @@ def summaries(df: DataFrame, text_col: str = "text", most: int = SUMMARY_ENTRIES
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
         total = 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in small(whole)):
             for text in utf8(batch.column(0)):
                 words = text.split()
                 total += len(words)
@@ -150,16 +150,14 @@ def count_tokens(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
             _lengths.clear()
             _lengths[key] = Lengths(unpack(block), counter(tokenizer_path))
         known = _lengths[key]
-        for batch in batches:
+        for batch in (part for whole in batches for part in small(whole)):
             texts = utf8(batch.column(1))
-            counts: list[int] = []
-            for part in slices([len(t) for t in texts]):
-                split = [t.split() for t in texts[part]]
-                distinct: set[bytes] = set()
-                distinct.update(*split)
-                long = known.learn(distinct)
-                get = known.__getitem__ if not long else lambda w, a=known, b=long: b[w] if w in b else a[w]
-                counts += [sum(map(get, s)) for s in split]
+            split = [t.split() for t in texts]
+            distinct: set[bytes] = set()
+            distinct.update(*split)
+            long = known.learn(distinct)
+            get = known.__getitem__ if not long else lambda w, a=known, b=long: b[w] if w in b else a[w]
+            counts = [sum(map(get, s)) for s in split]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts])],
                 [id_col, "n_bytes", "n_tokens", "over_limit"],
