@@ -36,7 +36,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's number of tokens, with hashes of its ids and of what they decode to."""
-    return bytebpe.digests(bytebpe.encode(docs, BYTE_RANKS, PATTERN), BYTE_RANKS)
+    return bytebpe.round_trip(docs, BYTE_RANKS, PATTERN)
 
 
 STAGES = [

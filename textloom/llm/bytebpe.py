@@ -9,6 +9,7 @@ tokens, bytes are joined before they are read as UTF-8.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -126,6 +127,17 @@ def encode(df: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id",
     return map_batches(df, [id_col, text_col], schema, kernel)
 
 
+def decode_ids(ids: np.ndarray, bytes_of: list[bytes]) -> tuple[bytes, int]:
+    """The bytes that ids stand for, and how many of the tokens end inside a character."""
+    parts = [bytes_of[i] for i in ids.tolist()]
+    whole = b"".join(parts)
+    if whole.isascii():
+        return whole, 0
+    ends = np.cumsum([len(p) for p in parts])[:-1]
+    data = np.frombuffer(whole, dtype=np.uint8)
+    return whole, int(np.count_nonzero((data[ends[ends < len(data)]] & 0xC0) == 0x80))
+
+
 def decode(df: DataFrame, rank_path: str, id_col: str = "doc_id", ids_col: str = "ids", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: its id column, ``keep``, ``decoded`` (bytes) and ``n_split`` (long).
 
@@ -136,22 +148,9 @@ def decode(df: DataFrame, rank_path: str, id_col: str = "doc_id", ids_col: str =
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept) + ", decoded binary, n_split long"
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bytes_of = byte_table(rank_path)
-        decoded, split = [], []
-        for ids in batch.column(batch.num_columns - 1):
-            if not ids.is_valid:
-                decoded.append(b"")
-                split.append(0)
-                continue
-            parts = [bytes_of[i] for i in ids.values.to_numpy(zero_copy_only=False).tolist()]
-            whole = b"".join(parts)
-            decoded.append(whole)
-            if whole.isascii():
-                split.append(0)
-            else:  # a token ends inside a character if the next byte continues one
-                ends = np.cumsum([len(p) for p in parts])[:-1]
-                data = np.frombuffer(whole, dtype=np.uint8)
-                split.append(int(np.count_nonzero((data[ends[ends < len(data)]] & 0xC0) == 0x80)))
+        bytes_of, none = byte_table(rank_path), np.empty(0, dtype=np.int32)
+        lists = [x.values.to_numpy(zero_copy_only=False) if x.is_valid else none for x in batch.column(batch.num_columns - 1)]
+        decoded, split = zip(*[decode_ids(x, bytes_of) for x in lists], strict=True)
         columns = [batch.column(i) for i in range(len(kept))] + [pa.array(decoded, pa.binary()), pa.array(split, pa.int64())]
         return pa.RecordBatch.from_arrays(columns, [*kept, "decoded", "n_split"])
 
@@ -163,8 +162,23 @@ def decoded_text(decoded: Column) -> Column:
     return F.make_valid_utf8(decoded.cast("string"))
 
 
-def digests(encoded: DataFrame, rank_path: str, id_col: str = "doc_id") -> DataFrame:
-    """Hashes of the ids and of what they decode to, both made in the JVM."""
-    ids = F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256)
-    back = decode(encoded.withColumn("ids_sha256", ids), rank_path, id_col, keep=("n_tokens", "ids_sha256"))
-    return back.select(id_col, "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "n_split")
+def round_trip(df: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Encodes each text and decodes its ids in one pass; one row per input row.
+
+    Gives the id column, ``n_tokens``, ``ids_sha256`` (of the decimal ids, joined by one space), ``decoded_sha256``
+    and ``n_split``, as ``encode`` and ``decode`` would, without sending ids to the JVM and back."""
+    kind = df.schema[id_col].dataType.simpleString()
+    names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "n_split"]
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids, _ = encode_texts([x or "" for x in batch.column(1).to_pylist()], rank_path, pattern)
+        bytes_of, rows = byte_table(rank_path), []
+        for own in ids:
+            decoded, split = decode_ids(own, bytes_of)
+            text = " ".join(map(str, own.tolist())).encode()
+            rows.append((len(own), hashlib.sha256(text).hexdigest(), hashlib.sha256(decoded).hexdigest(), split))
+        counts, first, second, splits = zip(*rows, strict=True)
+        columns = [pa.array(counts, pa.int64()), pa.array(first), pa.array(second), pa.array(splits, pa.int64())]
+        return pa.RecordBatch.from_arrays([batch.column(0), *columns], names)
+
+    return map_batches(df, [id_col, text_col], f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_split long", kernel)

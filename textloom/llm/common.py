@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -90,6 +93,14 @@ def small(batch: pa.RecordBatch, most: int = KERNEL_BYTES) -> Iterator[pa.Record
         yield batch.slice(run.start, run.stop - run.start)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers are used again, and what one stage kept would add to the next."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_batches(df: DataFrame, columns: Sequence[str], schema, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> DataFrame:
     """``mapInArrow`` over the named columns only; anything else the input has never leaves the JVM.
 
@@ -100,5 +111,6 @@ def map_batches(df: DataFrame, columns: Sequence[str], schema, kernel: Callable[
             for part in small(batch):
                 if (out := kernel(part)) is not None:
                     yield out
+        give_back()
 
     return df.select(*columns).mapInArrow(run, schema)

@@ -18,8 +18,7 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every document."""
-    encoded = bytebpe.encode(table(spark, sf_dir, "documents"), BYTE_RANKS, PATTERN)
-    return bytebpe.digests(encoded, BYTE_RANKS)
+    return bytebpe.round_trip(table(spark, sf_dir, "documents"), BYTE_RANKS, PATTERN)
 
 
 def op2_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
