@@ -80,7 +80,7 @@ class Writer:
     def _open(self) -> None:
         self.name, self.records, self.size = f"{uuid.uuid4().hex}.warc.zst", 0, 0
         self.system.create_dir(self.root, recursive=True)
-        self.file = self.system.open_output_stream(f"{self.root}/{self.name}")
+        self.file = self.system.open_output_stream(f"{self.root}/{self.name}", compression=None)
         dictionary = make_dictionary(self.waiting)
         self.file.write(struct.pack("<II", DICTIONARY_FRAME, len(dictionary)) + dictionary)
         self.press = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary_of(dictionary), write_content_size=True)
@@ -112,7 +112,7 @@ class Writer:
 def read_records(path: str) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers by lower-case name, block) of each record of an archive, one after the other."""
     system, own = fs.FileSystem.from_uri(path)
-    with system.open_input_stream(own) as file:
+    with system.open_input_stream(own, compression=None) as file:
         magic, size = struct.unpack("<II", file.read(8))
         if magic != DICTIONARY_FRAME:
             raise ValueError(f"{path} has no dictionary in front")
