@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -47,6 +48,7 @@ def as_characters(token: bytes) -> str:
 @lru_cache(maxsize=4)
 def encoder(rank_path: str, pattern: str):
     """The library's tokenizer for a rank file; made once in each worker."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
     from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
     ranks = read_ranks(rank_path)
@@ -63,14 +65,14 @@ def encoder(rank_path: str, pattern: str):
 
 
 @lru_cache(maxsize=4)
-def byte_table(rank_path: str) -> list[bytes]:
-    """The bytes of each id, by the reversed byte table."""
+def byte_table(rank_path: str) -> tuple[list[bytes], np.ndarray, list[bytes]]:
+    """The bytes of each id, by the reversed byte table; their numbers; and the ids' decimal forms."""
     byte_of = {c: b for b, c in enumerate(byte_characters())}
     vocabulary = {as_characters(token): rank for token, rank in read_ranks(rank_path).items()}
     found: list[bytes] = [b""] * (max(vocabulary.values()) + 1)
     for text, rank in vocabulary.items():
         found[rank] = bytes([byte_of[c] for c in text])
-    return found
+    return found, np.array([len(x) for x in found]), [b"%d" % i for i in range(len(found))]
 
 
 def pieces(text: str, most: int = KERNEL_BYTES // 4) -> Iterator[str]:
@@ -127,13 +129,12 @@ def encode(df: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id",
     return map_batches(df, [id_col, text_col], schema, kernel)
 
 
-def decode_ids(ids: np.ndarray, bytes_of: list[bytes]) -> tuple[bytes, int]:
+def decode_ids(ids: np.ndarray, bytes_of: list[bytes], sizes: np.ndarray) -> tuple[bytes, int]:
     """The bytes that ids stand for, and how many of the tokens end inside a character."""
-    parts = [bytes_of[i] for i in ids.tolist()]
-    whole = b"".join(parts)
+    whole = b"".join(map(bytes_of.__getitem__, ids.tolist()))
     if whole.isascii():
         return whole, 0
-    ends = np.cumsum([len(p) for p in parts])[:-1]
+    ends = np.cumsum(sizes[ids])[:-1]
     data = np.frombuffer(whole, dtype=np.uint8)
     return whole, int(np.count_nonzero((data[ends[ends < len(data)]] & 0xC0) == 0x80))
 
@@ -148,9 +149,9 @@ def decode(df: DataFrame, rank_path: str, id_col: str = "doc_id", ids_col: str =
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept) + ", decoded binary, n_split long"
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bytes_of, none = byte_table(rank_path), np.empty(0, dtype=np.int32)
+        (bytes_of, sizes, _), none = byte_table(rank_path), np.empty(0, dtype=np.int32)
         lists = [x.values.to_numpy(zero_copy_only=False) if x.is_valid else none for x in batch.column(batch.num_columns - 1)]
-        decoded, split = zip(*[decode_ids(x, bytes_of) for x in lists], strict=True)
+        decoded, split = zip(*[decode_ids(x, bytes_of, sizes) for x in lists], strict=True)
         columns = [batch.column(i) for i in range(len(kept))] + [pa.array(decoded, pa.binary()), pa.array(split, pa.int64())]
         return pa.RecordBatch.from_arrays(columns, [*kept, "decoded", "n_split"])
 
@@ -172,10 +173,10 @@ def round_trip(df: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_i
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, _ = encode_texts([x or "" for x in batch.column(1).to_pylist()], rank_path, pattern)
-        bytes_of, rows = byte_table(rank_path), []
+        (bytes_of, sizes, decimal), rows = byte_table(rank_path), []
         for own in ids:
-            decoded, split = decode_ids(own, bytes_of)
-            text = " ".join(map(str, own.tolist())).encode()
+            decoded, split = decode_ids(own, bytes_of, sizes)
+            text = b" ".join(map(decimal.__getitem__, own.tolist()))
             rows.append((len(own), hashlib.sha256(text).hexdigest(), hashlib.sha256(decoded).hexdigest(), split))
         counts, first, second, splits = zip(*rows, strict=True)
         columns = [pa.array(counts, pa.int64()), pa.array(first), pa.array(second), pa.array(splits, pa.int64())]

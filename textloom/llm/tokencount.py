@@ -13,6 +13,7 @@ misses are encoded by the library, many at a time.
 
 from __future__ import annotations
 
+import os
 import struct
 from collections import Counter
 from collections.abc import Iterator
@@ -79,6 +80,7 @@ def counter(tokenizer_path: str):
 
         pieces = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path)
         return lambda words: [len(x) for x in pieces.encode([w.decode() for w in words], num_threads=1)]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
     from tokenizers import Tokenizer
 
     tool = Tokenizer.from_file(tokenizer_path)
