@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from textloom.plans.oracles import ORACLES
+from textloom.plans.oracles_more import ORACLES
 from textloom.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"

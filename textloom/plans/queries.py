@@ -6,16 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from textloom.functions import text as T
 from textloom.operators import blocks as B
 from textloom.operators import classify as C
+from textloom.operators import convert as V
 from textloom.operators import diagnose as D
+from textloom.operators import feedback as K
 from textloom.operators import pack as P
 from textloom.operators import quality as Q
+from textloom.operators import render as R
+from textloom.plans import fixtures as X
 from textloom.plans.oracles import LINK, PARAMETER
+from textloom.plans.prepare import prepare, skip_known
 from textloom.rules import RuleSet
 from textloom.sources import tables as S
+from textloom.streaming.stream import event_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -207,3 +214,237 @@ def corpus_health(spark, sf):
     return rows.groupBy("source", "lang").agg(
         F.count("*").alias("docs"), F.sum("eligible").alias("eligible"), F.sum("discarded").alias("discarded"), F.round(F.avg("coverage"), 6).alias("coverage"), F.count_if(bad).alias("failed"), F.count_if(~bad).alias("publishable")
     )
+
+
+# Derived inputs: the same expressions make them in Spark and in SQL (see ``fixtures``).
+
+
+def _files(spark: SparkSession, sf: str) -> DataFrame:
+    return docs(spark, sf).selectExpr(*X.FILES)
+
+
+def _feedback(spark: SparkSession, sf: str) -> DataFrame:
+    return docs(spark, sf).join(S.table(spark, sf, "labels"), "doc_id").selectExpr(*X.FEEDBACK)
+
+
+def _patches(spark: SparkSession, sf: str) -> DataFrame:
+    return S.table(spark, sf, "events").selectExpr(*X.PATCHES)
+
+
+def _md5(c: str = "markdown"):
+    return F.md5(F.col(c).cast("binary")).alias("md5")
+
+
+@query
+def html_profile_text(spark, sf):
+    t = V.html_profile_text(F.coalesce("html", F.lit("")))
+    return S.table(spark, sf, "pages").select("page_id", t.alias("markdown")).select("page_id", F.length("markdown").cast("long").alias("chars"), _md5())
+
+
+@query
+def html_to_markdown(spark, sf):
+    return S.table(spark, sf, "pages").select("page_id", V.html_to_markdown("html").alias("markdown"))
+
+
+@query
+def html_blocks(spark, sf):
+    pages = S.table(spark, sf, "pages").select("page_id", V.html_to_markdown("html").alias("markdown"))
+    return B.blockify(pages, "page_id", "markdown").groupBy("type").agg(F.count("*").alias("blocks"))
+
+
+@query
+def conversation_transcript(spark, sf):
+    return V.conversation_markdown(S.table(spark, sf, "conversations")).select("conv_id", "turns", _md5())
+
+
+@query
+def conversation_turn_gaps(spark, sf):
+    """Turns of equal role in a row, by running counts."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    rows = S.table(spark, sf, "conversations").withColumn("again", F.coalesce(F.col("role") == F.lag("role").over(w), F.lit(False)))
+    return rows.groupBy("conv_id").agg(F.count("*").alias("turns"), F.count_if("again").alias("repeats"), F.max("turn").alias("last_turn"))
+
+
+@query
+def csv_to_markdown(spark, sf):
+    return V.table_to_markdown(S.table(spark, sf, "nation"), ["n_nationkey", "n_name", "n_regionkey"], "n_nationkey")
+
+
+@query
+def delimited_files(spark, sf):
+    rows = docs(spark, sf).select("doc_id", V.csv_to_markdown(F.substring("text", 1, 100_000_000)).alias("markdown"))
+    return rows.select("doc_id", F.length("markdown").alias("chars"))
+
+
+@query
+def json_pretty(spark, sf):
+    return S.table(spark, sf, "events").select("event_id", V.json_to_markdown("props").alias("markdown"))
+
+
+@query
+def subtitle_transcript(spark, sf):
+    cue = F.concat(F.col("turn").cast("string"), F.lit("\n00:00:01,000 --> 00:00:02,000\n"), F.col("text"))
+    rows = F.array_sort(F.collect_list(F.struct("turn", cue.alias("c"))))
+    srt = S.table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(rows, lambda r: r["c"]), "\n\n").alias("srt"))
+    return srt.select("conv_id", V.subtitle_to_markdown("srt").alias("markdown"))
+
+
+@query
+def code_fence(spark, sf):
+    return md(spark, sf).select("doc_id", V.code_to_markdown(F.col("text"), "text").alias("markdown")).select("doc_id", _md5())
+
+
+@query
+def fence_close(spark, sf):
+    cut = F.substring("text", 1, 700)
+    return md(spark, sf).select("doc_id", V.close_fence(cut).alias("markdown")).select("doc_id", F.length("markdown").cast("long").alias("chars"), _md5())
+
+
+@query
+def consecutive_dedupe(spark, sf):
+    return docs(spark, sf).select("doc_id", V.drop_repeated_lines(F.col("text")).alias("markdown")).select("doc_id", F.length("markdown").cast("long").alias("chars"), _md5())
+
+
+@query
+def unwrap_lines(spark, sf):
+    return docs(spark, sf).select("doc_id", F.size(F.split(V.unwrap_lines(F.col("text")), "\n")).alias("lines"))
+
+
+@query
+def format_inventory(spark, sf):
+    return S.inventory(_files(spark, sf)).groupBy("format", "action", "skip_reason").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+
+
+@query
+def source_domain_pages(spark, sf):
+    return S.table(spark, sf, "pages").groupBy(K.source_domain(F.col("url")).alias("domain")).agg(F.count("*").alias("pages"))
+
+
+@query
+def source_pattern_pages(spark, sf):
+    u = F.col("url")
+    return S.table(spark, sf, "pages").select("page_id", K.source_matches(u, "source_domain:example.com").alias("by_domain"), F.lower(F.regexp_extract("url", "^(https?://[^/]+)", 1)).alias("host"))
+
+
+@query
+def promo_split(spark, sf):
+    rows = C.split_promo(C.classify(blocks(spark, sf)))
+    return rows.select("doc_id", "block_id", "sub_ord", "status", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query
+def classify_images(spark, sf):
+    rows = C.classify_images(B.with_heading_path(C.classify(blocks(spark, sf))))
+    return rows.where("image_type is not null").groupBy("status", "image_type").agg(F.count("*").alias("blocks"))
+
+
+@query
+def review_pack(spark, sf):
+    return K.review_pack(cleaned(spark, sf)).groupBy("doc_id").agg(F.count("*").alias("blocks"), F.sum(F.length("text")).alias("chars"))
+
+
+@query
+def patch_validate(spark, sf):
+    found = K.validate_patch(_patches(spark, sf), cleaned(spark, sf))
+    return found.groupBy(F.coalesce("rejected", F.lit("accepted")).alias("outcome")).agg(F.count("*").alias("ops"))
+
+
+@query
+def patch_apply(spark, sf):
+    return K.apply_patch(cleaned(spark, sf), _patches(spark, sf)).select("doc_id", "block_id", "status", "patched")
+
+
+@query
+def feedback_action(spark, sf):
+    return docs(spark, sf).select("doc_id", K.infer_action(F.col("text")).alias("action"), K.infer_pattern(F.col("text")).alias("pattern"))
+
+
+@query
+def feedback_acceptance(spark, sf):
+    return K.accepted(docs(spark, sf).selectExpr(*X.PROPOSALS)).select("id", "ok")
+
+
+@query
+def feedback_repeat_sources(spark, sf):
+    return K.repeated_sources(_feedback(spark, sf))
+
+
+@query
+def dictionary_suggestions(spark, sf):
+    rows = _feedback(spark, sf)
+    return K.suggestions(rows, rows.where("status = 'rejected'")).select("document_type", "pattern", "sources", "first_seen")
+
+
+@query
+def promotion_summary(spark, sf):
+    return K.promotion_summary(docs(spark, sf).selectExpr(*X.HISTORY))
+
+
+@query
+def keyword_dedupe(spark, sf):
+    words = docs(spark, sf).selectExpr("doc_id", "split(text, ' ')[0] as word")
+    return K.dedupe(words, "word", "doc_id")
+
+
+@query
+def retention_policy(spark, sf):
+    return K.newest_runs(docs(spark, sf).selectExpr(*X.RUNS)).select("run", "root", "retained")
+
+
+@query
+def cache_lookup(spark, sf):
+    sources = docs(spark, sf).select("doc_id", F.col("text").cast("binary").alias("content"))
+    ledger = sources.where("doc_id % 3 = 0").select(F.sha2("content", 256).alias("sha256"), F.when(F.col("doc_id") % 2 == 0, "v1").otherwise("v2").alias("version"))
+    return skip_known(sources, ledger, "v1").select("doc_id", "sha256")
+
+
+@query
+def cleaned_markdown(spark, sf):
+    return R.cleaned_markdown(cleaned(spark, sf)).select("doc_id", "blocks", _md5())
+
+
+@query
+def render_evidence(spark, sf):
+    return R.by_status(cleaned(spark, sf), "evidence").select("doc_id", _md5())
+
+
+@query
+def audit_topk(spark, sf):
+    return R.audit(cleaned(spark, sf)).select("doc_id", "status", "n", "block_id")
+
+
+@query
+def notes_sections(spark, sf):
+    return R.sections(cleaned(spark, sf)).select("doc_id", F.col("section").cast("long").alias("section"), "category", "blocks", "chars", "path")
+
+
+@query
+def parts(spark, sf):
+    b = cleaned(spark, sf)
+    return P.assemble(b, P.parts(b), "part_%03d").select("doc_id", F.col("chunk_id").alias("part_id"), F.size("block_ids").cast("long").alias("blocks"))
+
+
+@query
+def chunks_by_page(spark, sf):
+    source = md(spark, sf)
+    page_map = source.select("doc_id", F.explode(F.sequence(F.lit(0), F.size(F.split("text", "\n")) - 1, F.lit(7))).alias("line")).withColumn("page", (F.floor(F.col("line") / 7) + 1).cast("int"))
+    b = B.with_pages(C.apply_rules(C.classify(B.blockify(source))), page_map)
+    return P.chunks_by_page(b).groupBy("doc_id", "page").agg(F.count("*").alias("blocks"), F.max("no").cast("long").alias("chunks"))
+
+
+@query
+def structure_loss(spark, sf):
+    source = md(spark, sf)
+    half = source.withColumn("text", F.expr("substring(text, 1, cast(length(text) / 2 as int))"))
+    return Q.structure_loss(B.structure_counts(source), B.structure_counts(half))
+
+
+@query
+def event_windows(spark, sf):
+    return event_counts(S.table(spark, sf, "events")).select("window_start", "event_type", "events")
+
+
+@query
+def prepare_corpus(spark, sf):
+    done = prepare(docs(spark, sf))
+    return done.gates.groupBy("gate", "status").agg(F.count("*").alias("docs"))
