@@ -55,8 +55,8 @@ def structure_loss(source: DataFrame, converted: DataFrame) -> DataFrame:
     return source.join(other, "doc_id", "left").select("doc_id", *[F.greatest(F.lit(0).cast("long"), F.col(k) - F.coalesce(F.col(f"c_{k}"), F.lit(0))).alias(f"missing_{k}") for k in kinds])
 
 
-def messages(measures: DataFrame, chunk_stats: DataFrame | None = None, loss: DataFrame | None = None) -> DataFrame:
-    """(doc_id, level, code): what the measures of a document give rise to; level is error or warning."""
+def with_messages(measures: DataFrame, chunk_stats: DataFrame | None = None, loss: DataFrame | None = None) -> DataFrame:
+    """Adds ``messages``, an array of (level, code, gate): what the measures of a document give rise to."""
     m = measures
     for other in (chunk_stats, loss):
         if other is not None:
@@ -71,20 +71,31 @@ def messages(measures: DataFrame, chunk_stats: DataFrame | None = None, loss: Da
         tests += [("error", "broken_code", F.col("open_fences") > 0), ("warning", "chunk_too_short", F.col("too_short") > 0), ("warning", "chunk_too_long", F.col("too_long") > 0)]
     if "missing_headings" in has:
         tests += [("error", "structure_loss", F.col("missing_headings") + F.col("missing_tables") + F.col("missing_code_blocks") + F.col("missing_images") > 0)]
-    found = F.array_compact(F.array(*[F.when(test, F.struct(F.lit(level).alias("level"), F.lit(code).alias("code"))) for level, code, test in tests]))
-    return m.select("doc_id", F.explode(found).alias("m")).select("doc_id", "m.level", "m.code")
+    found = [F.when(test, F.struct(F.lit(level).alias("level"), F.lit(code).alias("code"), F.lit(gate_of(code)).alias("gate"))) for level, code, test in tests]
+    return m.withColumn("messages", F.array_compact(F.array(*found)))
 
 
-def gate_of(code):
-    return F.when(code.isin("structure_loss"), GATES[0]).when(code.startswith("chunk") | code.startswith("broken"), GATES[2]).when(code.rlike("discard|coverage|protected"), GATES[1]).otherwise(GATES[4])
+def gate_of(code: str) -> str:
+    """The gate that a message belongs to, by its code."""
+    if code == "structure_loss":
+        return GATES[0]
+    if code.startswith(("chunk", "broken")):
+        return GATES[2]
+    return GATES[1] if any(x in code for x in ("discard", "coverage", "protected")) else GATES[4]
 
 
-def gates(docs: DataFrame, found: DataFrame, reviewed: bool = False) -> DataFrame:
-    """Five rows per document: errors, warnings, status fail > warn > pass, or not_checked. Every error also holds up export."""
-    own = found.select("doc_id", "level", gate_of(F.col("code")).alias("gate"))
-    up = own.where((F.col("level") == "error") & (F.col("gate") != GATES[4])).withColumn("gate", F.lit(GATES[4]))
-    counts = own.unionByName(up).groupBy("doc_id", "gate").agg(F.count_if(F.col("level") == "error").alias("errors"), F.count_if(F.col("level") == "warning").alias("warnings"))
-    frame = docs.select("doc_id").distinct().select("doc_id", F.explode(F.array(*map(F.lit, GATES))).alias("gate"))
-    joined = frame.join(counts, ["doc_id", "gate"], "left").fillna(0, ["errors", "warnings"])
+def failed(messages):
+    """Whether a document has an error, which holds up its export."""
+    return F.exists(messages, lambda m: m["level"] == "error")
+
+
+def gates(messaged: DataFrame, reviewed: bool = False) -> DataFrame:
+    """Five rows per document: errors, warnings, status fail > warn > pass, or not_checked. Every error also holds up export.
+
+    Takes rows with ``messages``; a map over documents, without a join or a shuffle of its own."""
+    each = messaged.select("doc_id", "messages", F.explode(F.array(*map(F.lit, GATES))).alias("gate"))
+    own = lambda level, m: (m["level"] == level) & ((m["gate"] == F.col("gate")) | ((F.lit(level) == "error") & (F.col("gate") == GATES[4])))
+    count = lambda level: F.size(F.filter("messages", lambda m: own(level, m))).cast("long")
+    counted = each.select("doc_id", "gate", count("error").alias("errors"), count("warning").alias("warnings"))
     checked = F.lit(reviewed) | (F.col("gate") != GATES[3])
-    return joined.select("doc_id", "gate", "errors", "warnings", F.when(F.col("errors") > 0, "fail").when(F.col("warnings") > 0, "warn").when(checked, "pass").otherwise("not_checked").alias("status"))
+    return counted.withColumn("status", F.when(F.col("errors") > 0, "fail").when(F.col("warnings") > 0, "warn").when(checked, "pass").otherwise("not_checked"))

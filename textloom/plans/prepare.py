@@ -40,7 +40,7 @@ def prepare(docs: DataFrame, rules: RuleSet | None = None, source_type: str = "g
     blocks = C.apply_rules(C.classify(B.with_heading_path(B.blockify(own)), rules), rules)
     chunks = P.assemble(blocks, PACKERS[source_type](blocks))
     measures = Q.cleanup_measures(blocks)
-    gates = Q.gates(measures, Q.messages(measures, P.chunk_stats(chunks)))
+    gates = Q.gates(Q.with_messages(measures, P.chunk_stats(chunks)))
     diagnosis = D.text_quality(own).join(D.text_profile(own), "doc_id")
     return Prepared(diagnosis, blocks, chunks, measures, gates, R.cleaned_markdown(blocks), K.review_pack(blocks))
 

@@ -173,8 +173,7 @@ def structure_counts(spark, sf):
 
 @query
 def quality_gates(spark, sf):
-    m = Q.cleanup_measures(cleaned(spark, sf))
-    return Q.gates(m, Q.messages(m))
+    return Q.gates(Q.with_messages(Q.cleanup_measures(cleaned(spark, sf))))
 
 
 @query
@@ -207,10 +206,9 @@ def chunk_stats(spark, sf):
 @query
 def corpus_health(spark, sf):
     """The flagship: per source and language, what cleaning keeps and how many documents may be published."""
-    m = Q.cleanup_measures(cleaned(spark, sf))
-    failed = Q.messages(m).where("level = 'error'").select("doc_id").distinct().withColumn("failed", F.lit(True))
-    rows = m.join(failed, "doc_id", "left").join(docs(spark, sf).select("doc_id", "source", "lang"), "doc_id")
-    bad = F.coalesce("failed", F.lit(False))
+    m = Q.with_messages(Q.cleanup_measures(cleaned(spark, sf)))
+    rows = m.join(docs(spark, sf).select("doc_id", "source", "lang"), "doc_id")
+    bad = Q.failed(F.col("messages"))
     return rows.groupBy("source", "lang").agg(
         F.count("*").alias("docs"), F.sum("eligible").alias("eligible"), F.sum("discarded").alias("discarded"), F.round(F.avg("coverage"), 6).alias("coverage"), F.count_if(bad).alias("failed"), F.count_if(~bad).alias("publishable")
     )
