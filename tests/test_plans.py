@@ -80,3 +80,11 @@ def test_prepare_and_stream_agree(spark, tmp_path):
     stream.prepare_stream(stream.documents(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     key = lambda x: sorted(map(str, x.select("doc_id", "gate", "status").collect()))
     assert key(spark.read.parquet(str(tmp_path / "out/gates"))) == key(done.gates)
+
+
+def test_titles(spark):
+    from textloom.operators.titles import best_title
+
+    texts = ["Contents\n\nThe long way home. It was late;\n# Field Guide | draft", "目录\n\n创始人行动手册", None, "1234\nab", "Some words here!"]
+    rows = best_title(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.title, r.score) for r in rows] == [("Field Guide | draft", 112), ("创始人行动手册", 133), (None, 0), (None, 0), ("Some words here!", 60)]

@@ -6,6 +6,7 @@ from textloom.functions import text as T
 from textloom.operators import convert as V
 from textloom.operators import feedback as K
 from textloom.operators import pack as P
+from textloom.operators import titles as N
 from textloom.plans import fixtures as X
 from textloom.plans.oracles import CLASSIFIED, CLEANED, MD, ORACLES, RECURSIVE, STRUCTURE, WITH, exact, has, q, rule_case, split_lines, strip
 from textloom.rules import RuleSet
@@ -81,3 +82,15 @@ ORACLES |= {
     "classify_images": f"{WITH}{CLASSIFIED}, hp AS (SELECT * FROM classified WHERE type = 'image_evidence') SELECT 'keep' AS status, 'image_operation' AS image_type, count(*) AS blocks FROM hp",
 }
 
+
+_whole = strip(f"regexp_replace({strip('x')}, '^#{{1,6}}[ \\t]*', '')")
+_normal = replaced(replaced(replaced("p", r"^[#*\-_ \t]+|[#*\-_ \t]+$", "''"), f"[{T.SPACE}]+", "' '"), r"^[ ·:：\-—_]+|[ ·:：\-—_]+$", "''")
+_compact = replaced("title", f"[{T.SPACE}]+", "''")
+ORACLES["title_candidates"] = f"""{WITH}{MD}, ml AS ({split_lines('md')}), w AS (SELECT doc_id, i, {_whole} AS whole FROM ml WHERE i < {N.FIRST_LINES}),
+  f AS (SELECT doc_id, i, unnest(list_concat([whole, string_split(whole, '|')[1], string_split(whole, '｜')[1]], regexp_extract_all(whole, '[\\x{{4E00}}-\\x{{9FFF}}][\\x{{4E00}}-\\x{{9FFF}}A-Za-z0-9《》「」：:·\\- ]{{2,39}}'))) AS p FROM w),
+  c AS (SELECT doc_id, i, {_normal} AS title FROM f), d AS (SELECT *, {_compact} AS compact FROM c),
+  s AS (SELECT doc_id, i, title, {N.BASE} - least(i, {N.LINE_LIMIT}) + CASE WHEN {has('compact', '[' + chr(92) + 'x{4E00}-' + chr(92) + 'x{9FFF}]')} THEN {N.CJK_BONUS} ELSE 0 END
+    + CASE WHEN {has('lower(title)', N.TITLE_WORDS)} THEN {N.WORD_BONUS} ELSE 0 END - CASE WHEN {has('title', '[。！？!?；;]')} THEN {N.SENTENCE_LOSS} ELSE 0 END AS score FROM d
+    WHERE length(compact) BETWEEN {N.SHORTEST} AND {N.LONGEST} AND NOT {has('lower(compact)', N.REJECTED)} AND NOT {has('title', '^[0-9]{1,4}$')}),
+  r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i, title DESC) AS n FROM s WHERE score > 0)
+SELECT md.doc_id, title, coalesce(score, 0)::BIGINT AS score FROM md LEFT JOIN r ON r.doc_id = md.doc_id AND n = 1"""

@@ -17,6 +17,7 @@ from textloom.operators import feedback as K
 from textloom.operators import pack as P
 from textloom.operators import quality as Q
 from textloom.operators import render as R
+from textloom.operators import titles as N
 from textloom.plans import fixtures as X
 from textloom.plans.oracles import LINK, PARAMETER
 from textloom.plans.prepare import prepare, skip_known
@@ -446,3 +447,8 @@ def event_windows(spark, sf):
 def prepare_corpus(spark, sf):
     done = prepare(docs(spark, sf))
     return done.gates.groupBy("gate", "status").agg(F.count("*").alias("docs"))
+
+
+@query
+def title_candidates(spark, sf):
+    return N.best_title(md(spark, sf))
