@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bytebpe, cnn, decontam, secrets, simhash
+from textloom.llm import bytebpe, cnn, decontam, secrets, simhash, simhash_wide
 from textloom.llm.common import table, written
 from textloom.llm.queries import BYTE_RANKS, PATTERN
 
@@ -20,8 +20,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component stays, that of the smallest id."""
-    return simhash.keep_first(docs)
+    """One document of each component of five-word similarity 0.8 or more stays, that of the smallest id."""
+    return simhash.keep_first(docs, groups=simhash_wide.similar)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

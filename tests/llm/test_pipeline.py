@@ -11,7 +11,7 @@ import tiktoken
 sys.path.insert(0, str(Path(__file__).parents[2]))
 
 import corpus_pipeline  # noqa: E402
-from textloom.llm import bytebpe, cnn, decontam, secrets, simhash  # noqa: E402
+from textloom.llm import bytebpe, cnn, decontam, secrets, simhash_wide  # noqa: E402
 
 
 def made(seed=6):
@@ -28,7 +28,8 @@ def made(seed=6):
         if i % 10 == 4:
             words.insert(5, 'token = "%040x"' % pick.getrandbits(160))
         docs.append((i, " ".join(words)))
-    docs += [(1000 + i, docs[i][1]) for i in range(0, 60, 3)] + [(2000, None), (2001, ""), (None, docs[0][1])]
+    docs += [(1000 + i, docs[i][1]) for i in range(0, 60, 3)]
+    docs += [(1100 + i, docs[i][1].rsplit(" ", 4)[0] + " new end") for i in range(0, 60, 4)] + [(2000, None), (2001, ""), (None, docs[0][1])]
     return docs, [(i, int("%%%" not in t)) for i, t in docs[:240]], bench
 
 
@@ -50,13 +51,14 @@ def test_stages_equal_plain_versions(spark, tmp_path):
     good = [(i, t) for i, t in docs if cnn.score(net, [(t or "").encode()])[0] >= 0.7]
     assert sorted(map(str, good)) == sorted(str((r.doc_id, r.text)) for r in one)
     assert sum(dict(labels)[r.doc_id] for r in one if r.doc_id is not None and r.doc_id < 240) > 150
-    rows = [(r.doc_id, r.text, simhash.fingerprint((r.text or "").encode())) for r in one]
+    rows = [(r.doc_id, r.text, int.from_bytes(simhash_wide.fingerprint((r.text or "").encode()))) for r in one]
     root = {}
     for i, _, f in sorted((x for x in rows if x[0] is not None), key=lambda x: x[0]):
-        linked = {root[j] for j, _, g in rows if j in root and (f ^ g).bit_count() <= 3}
+        linked = {root[j] for j, _, g in rows if j in root and (f ^ g).bit_count() <= simhash_wide.reach(0.8)}
         root[i] = min(linked | {i})
         root.update({j: root[i] for j, r in root.items() if r in linked})
     assert sorted(str(r.doc_id) for r in two) == sorted([str(x) for x in set(root.values())] + ["None" for i, _, _ in rows if i is None])
+    assert not {r.doc_id for r in two} & set(range(1100, 1200))
     items = [decontam.normal(t) for _, t in bench]
     tool = decontam.Matcher(tuple(enumerate(items)), decontam.ERRORS)
     assert sorted(str(r.doc_id) for r in three) == sorted(str(r.doc_id) for r in two if not tool.find(decontam.normal(r.text or "")))

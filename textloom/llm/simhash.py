@@ -183,15 +183,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.join(by_fp, "fp").select(id_col, *keep, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, most: int = 3) -> DataFrame:
-    """One row for each component, that of the smallest id, with all columns of ``df``.
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups=near_duplicates) -> DataFrame:
+    """One row for each component that ``groups`` finds, that of the smallest id, with all columns of ``df``.
 
     If that id stands on several rows of the component, the row with the smallest hash of its text stays. Rows
     without an id can't stand for a group: they all stay and make no other row go."""
     mark = "__text_hash"
     marked = df.withColumn(mark, F.xxhash64(F.col(text_col)))
     named = marked.where(F.col(id_col).isNotNull())
-    found = near_duplicates(named, id_col, text_col, width, most, keep=(mark,))
+    found = groups(named, id_col, text_col, keep=(mark,))
     first = found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.min(mark).alias(mark))
     kept = named.join(first, [id_col, mark], "left_semi").dropDuplicates([id_col, mark])
     return kept.unionByName(marked.where(F.col(id_col).isNull())).select(df.columns)
