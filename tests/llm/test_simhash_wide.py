@@ -103,3 +103,48 @@ def test_similar_documents_group(spark, odd, empty):
     assert kept.columns == df.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 4, 6, *range(10, 130, 10)]
     assert simhash_wide.similar(empty).count() == 0
     assert simhash_wide.similar(odd).count() == odd.count()
+
+
+def jaccard(a, b):
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y)
+
+
+def edited(pick, words, n, mark):
+    own = list(words)
+    for i in pick.sample(range(len(own)), n):
+        own[i] = f"{mark}{i}"
+    return " ".join(own)
+
+
+def test_only_texts_of_the_similarity_link(spark):
+    pick = random.Random(3)
+    rows = []
+    for g in range(30):
+        base = [f"g{g}w{i}" for i in range(300)]
+        rows += [(100 * g + k, edited(pick, base, n, f"c{k}x")) for k, n in enumerate((0, 2, 5, 9, 14, 18))]
+    hot = [f"hot{i}" for i in range(400)]
+    rows += [(10000 + k, edited(pick, hot, 4 + k % 12, f"h{k}x")) for k in range(160)]
+    text = dict(rows)
+    near = {(a, b) for a in text for b in text if a < b and (a // 100 == b // 100 or a >= 10000) and jaccard(text[a], text[b]) >= 0.8}
+    bits = {i: int.from_bytes(simhash_wide.fingerprint(t.encode())) for i, t in rows}
+    false = [(a, b) for a in text for b in text if a < b and (bits[a] ^ bits[b]).bit_count() <= 52 and (a, b) not in near]
+    assert len(false) > 100
+    want = groups(sorted(text), lambda a, b: (a, b) in near)
+    found = simhash_wide.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in found} == want
+
+
+def test_all_pairs_near_under_a_key_are_proposed_or_looked_at_again():
+    pick = np.random.default_rng(8)
+    fps = np.repeat(pick.integers(0, 2**63, (3, 4), dtype=np.uint64), [3, 40, 600], axis=0)
+    fps[:, 1] ^= pick.integers(0, 2**63, len(fps), dtype=np.uint64)
+    fps[:, 2] ^= np.uint64(1) << pick.integers(0, 63, len(fps), dtype=np.uint64)
+    near = simhash_wide.apart(fps, fps) <= 34
+    us, vs, late = simhash_wide.proposed(fps, 34)
+    assert near[us, vs].all() and not any(u == v for u, v in zip(us, vs, strict=True))
+    pairs = {frozenset(p) for p in zip(us, vs, strict=True)}
+    again = {frozenset((int(i), int(j))) for a, b in simhash_wide.across(fps, np.arange(len(fps))[:, None], 34) for i, j in zip(a, b, strict=True)}
+    wanted = {frozenset((int(i), int(j))) for i, j in zip(*np.nonzero(near), strict=True) if i != j}
+    assert again == wanted
+    assert all(p in pairs or late[list(p)].all() for p in wanted)

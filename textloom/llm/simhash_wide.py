@@ -6,8 +6,14 @@ such pairs (39 differing bits on average) from unrelated ones (128) without doub
 
 Segments of the fingerprint are indexed. Every fingerprint is stored under each value in the Hamming ball of radius
 one around each of its segments, so that two whose segments differ in at most two bits meet; their complete distance
-is then verified. The segments' width follows the number of fingerprints, so that runs under one key stay short, and
-the number of segments follows the width, so that the chance to find a pair at the threshold is the same at all sizes.
+then makes them candidates. The segments' width follows the number of fingerprints, so that runs under one key stay
+short, and the number of segments follows the width, so that the chance to find a pair at the threshold is the same
+at all sizes.
+
+Bits only propose: a candidate pair links if the exact Jaccard similarity of its shingles reaches the threshold. Under
+each key a fingerprint is first compared with its nearest ones and with representatives of its group, so that a group
+of copies makes a linear number of pairs; what has more partners than that is looked at again, and all its pairs are
+compared that the first links have not yet joined.
 """
 
 from __future__ import annotations
@@ -27,9 +33,11 @@ from textloom.llm.simhash import SEED
 
 BITS = 256
 #: Chance that a pair exactly at the threshold meets under some key; more similar pairs meet more surely.
-MEET = 0.95
+MEET = 0.99
 #: Fingerprints expected under one key at most, by which segments are made wider; longer runs are compared in blocks.
 RUN = 512
+#: Partners of a fingerprint under one key, the nearest ones, that are compared at once; those of more wait for the links.
+NEAREST = 4
 
 
 def differing(similarity: float) -> float:
@@ -72,29 +80,48 @@ def ones(words: np.ndarray) -> np.ndarray:
     return counts.reshape(64)
 
 
-def fingerprint(text: bytes, width: int = 5) -> bytes:
-    """The 32 bytes of a text: per bit, whether over half of its different shingles have it; zero without words."""
+def shingles(text: bytes, width: int = 5) -> np.ndarray:
+    """The different hashes of the word shingles of a UTF-8 text, ascending; none without words."""
     words = text.lower().split()
     if not words:
-        return bytes(BITS // 8)
+        return np.empty(0, dtype=np.uint64)
     line = b" ".join(words)
     if len(words) < width:
-        found = np.array([xxhash.xxh64_intdigest(line, SEED)], dtype=np.uint64)
-    else:
-        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        ends = np.cumsum(sizes + 1) - 1
-        begins = (ends - sizes)[: len(words) - width + 1].tolist()
-        digest = xxhash.xxh64_intdigest
-        found = np.unique(np.fromiter((digest(line[a:b], SEED) for a, b in zip(begins, ends[width - 1 :].tolist(), strict=True)), dtype=np.uint64, count=len(begins)))
+        return np.array([xxhash.xxh64_intdigest(line, SEED)], dtype=np.uint64)
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    begins = (ends - sizes)[: len(words) - width + 1].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(line[a:b], SEED) for a, b in zip(begins, ends[width - 1 :].tolist(), strict=True)), dtype=np.uint64, count=len(begins)))
+
+
+def bits_of(found: np.ndarray) -> bytes:
+    """The 32 bytes of a set of shingles: per bit, whether over half of them have it; zero for none."""
     counts = np.zeros((4, 64), dtype=np.int64)
     for i in range(0, len(found), 1 << 16):
         counts += np.array([ones(w) for w in spread_bits(found[i : i + (1 << 16)])])
     return np.packbits(2 * counts.reshape(BITS) > len(found)).tobytes()
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    """One row of 32 bytes for each fingerprint."""
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, BITS // 8)
+def fingerprint(text: bytes, width: int = 5) -> bytes:
+    """The 32 bytes of a text; zero without words."""
+    return bits_of(shingles(text, width))
+
+
+def alike(a: bytes, b: bytes, similarity: float) -> bool:
+    """Whether two sets of shingles, as the bytes of their ascending hashes, have this Jaccard similarity or more."""
+    x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-6:
+        return False
+    both = np.concatenate([x, y])
+    both.sort()
+    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+    return len(both) == 0 or shared / (len(both) - shared) >= similarity
+
+
+def matrix(column: pa.Array, size: int = BITS // 8) -> np.ndarray:
+    """One row of ``size`` bytes for each fingerprint."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, size)
 
 
 def packed(rows: np.ndarray) -> pa.Array:
@@ -134,10 +161,59 @@ def forest(fps: np.ndarray, most: int) -> tuple[list[int], list[int]]:
     return us, vs
 
 
-def links(fps: DataFrame, segments: np.ndarray, most: int) -> DataFrame:
-    """``fps(fp)``, all different -> verified links (u, v): under each key, a spanning forest of them."""
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def apart(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The differing bits of every fingerprint of ``left`` (four words a row) and every one of ``right``."""
+    total = np.zeros((len(left), len(right)), dtype=np.uint16)
+    for w in range(BITS // 64):
+        total += np.bitwise_count(left[:, None, w] ^ right[None, :, w])
+    return total
+
+
+def proposed(fps: np.ndarray, most: int) -> tuple[list[int], list[int], np.ndarray]:
+    """Pairs at most ``most`` bits apart, and which fingerprints have more partners than were paired.
+
+    Each is paired with its nearest partners. Those of more partners are also paired with representatives: in turn
+    the one of most partners that is near no earlier representative, with all that are near it."""
+    us, vs, degree = [], [], np.zeros(len(fps), dtype=np.int64)
+    step = max(1, RUN * RUN // len(fps))
+    for a in range(0, len(fps), step):
+        far = apart(fps[a : a + step], fps)
+        near = far <= most
+        near[np.arange(len(far)), np.arange(a, a + len(far))] = False
+        degree[a : a + step] = near.sum(axis=1)
+        for i in np.flatnonzero(near.any(axis=1)).tolist():
+            cols = np.flatnonzero(near[i])
+            if len(cols) > NEAREST:
+                cols = cols[np.argsort(far[i, cols], kind="stable")[:NEAREST]]
+            us += [a + i] * len(cols)
+            vs += cols.tolist()
+    late = degree > NEAREST
+    left = np.where(late, degree, 0)
+    while left.any():
+        r = int(left.argmax())
+        near = np.flatnonzero(apart(fps[r : r + 1], fps)[0] <= most)
+        left[near] = 0
+        us += [r] * (len(near) - 1)
+        vs += near[near != r].tolist()
+    return us, vs, late
+
+
+def across(fps: np.ndarray, labels: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of unlike labels at most ``most`` bits apart."""
+    names = np.unique(labels, axis=0, return_inverse=True)[1].reshape(-1)
+    if names.max() > 0:
+        for a in range(0, len(fps), RUN):
+            for b in range(0, a + 1, RUN):
+                x, y = slice(a, a + RUN), slice(b, b + RUN)
+                i, j = np.nonzero((apart(fps[x], fps[y]) <= most) & (names[x, None] != names[None, y]))
+                if len(i):
+                    yield a + i, b + j
+
+
+def keyed(fps: DataFrame, segments: np.ndarray) -> DataFrame:
+    """(fp) -> (key, fp) for every key of the fingerprint."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = matrix(batch.column(0))
             for i in range(0, len(rows), 4096):
@@ -145,6 +221,12 @@ def links(fps: DataFrame, segments: np.ndarray, most: int) -> DataFrame:
                 for keys in segment_keys(part, segments):
                     yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), packed(np.repeat(part, keys.shape[1], axis=0))], ["key", "fp"])
 
+    return fps.select("fp").mapInArrow(spread, "key long, fp binary")
+
+
+def in_runs(rows: DataFrame, found, schema: str, size: int = BITS // 8) -> DataFrame:
+    """``found(key, fingerprints)`` for all rows (key, fp) that share a key, if they are more than one; ``size`` bytes each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         now = None
@@ -152,12 +234,10 @@ def links(fps: DataFrame, segments: np.ndarray, most: int) -> DataFrame:
         def close() -> Iterator[pa.RecordBatch]:
             rows = held[0] if len(held) == 1 else np.concatenate(held)
             if len(rows) > 1:
-                us, vs = forest(rows.view(np.uint64), most)
-                if us:
-                    yield pa.RecordBatch.from_arrays([packed(rows[us]), packed(rows[vs])], ["u", "v"])
+                yield from found(now, rows)
 
         for batch in batches:
-            key, rows = batch.column(0).to_numpy(), matrix(batch.column(1))
+            key, rows = batch.column(0).to_numpy(), matrix(batch.column(1), size)
             cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
                 if a == b:
@@ -170,26 +250,85 @@ def links(fps: DataFrame, segments: np.ndarray, most: int) -> DataFrame:
         if held:
             yield from close()
 
-    return fps.select("fp").mapInArrow(keyed, "key long, fp binary").repartition("key").sortWithinPartitions("key").mapInArrow(run, "u binary, v binary")
+    return rows.select("key", "fp").repartition("key").sortWithinPartitions("key").mapInArrow(run, schema)
+
+
+def links(fps: DataFrame, segments: np.ndarray, most: int) -> DataFrame:
+    """``fps(fp)``, all different -> links (u, v) by bits alone: under each key, a spanning forest of them."""
+
+    def found(_: int, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        us, vs = forest(rows.view(np.uint64), most)
+        if us:
+            yield pa.RecordBatch.from_arrays([packed(rows[us]), packed(rows[vs])], ["u", "v"])
+
+    return in_runs(keyed(fps, segments), found, "u binary, v binary")
+
+
+def candidates(fps: DataFrame, segments: np.ndarray, most: int) -> DataFrame:
+    """``fps(fp)``, all different -> pairs (u, v, null), and (fp, null, key) of those with more partners under a key."""
+
+    def found(key: int, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        us, vs, late = proposed(np.ascontiguousarray(rows).view(np.uint64), most)
+        if us:
+            yield pa.RecordBatch.from_arrays([packed(rows[us]), packed(rows[vs]), pa.nulls(len(us), pa.int64())], ["u", "v", "key"])
+        if n := int(late.sum()):
+            yield pa.RecordBatch.from_arrays([packed(rows[late]), pa.nulls(n, pa.binary()), pa.array(np.full(n, key, dtype=np.int64))], ["u", "v", "key"])
+
+    return in_runs(keyed(fps, segments), found, "u binary, v binary, key long")
+
+
+def unjoined(late: DataFrame, most: int) -> DataFrame:
+    """``late(key, fp, root)`` -> all pairs (u, v) near each other under a key whose roots differ."""
+
+    def found(_: int, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        fps = np.ascontiguousarray(rows[:, : BITS // 8])
+        for us, vs in across(fps.view(np.uint64), rows[:, BITS // 8 :], most):
+            yield pa.RecordBatch.from_arrays([packed(fps[us]), packed(fps[vs])], ["u", "v"])
+
+    return in_runs(late.select("key", F.concat("fp", "root").alias("fp")), found, "u binary, v binary", 2 * (BITS // 8))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose shingles, ``sets(fp, shingles)``, have the Jaccard similarity or more."""
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        mask = [alike(a, b, similarity) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        return batch.select(["u", "v"]).filter(pa.array(mask, pa.bool_()))
+
+    both = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    own = both.join(sets.select(F.col("fp").alias("u"), F.col("shingles").alias("a")), "u")
+    own = own.join(sets.select(F.col("fp").alias("v"), F.col("shingles").alias("b")), "v")
+    return map_batches(own, ["u", "v", "a", "b"], "u binary, v binary", kernel)
 
 
 def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: its id column, ``keep``, ``fingerprint`` (hex) and ``component_id``.
 
-    Fingerprints link at ``reach(similarity)`` or fewer differing bits of 256; component_id is the smallest id
-    reachable over links. A null text is empty; texts without words have fingerprint zero and are one group. Texts
+    Texts link whose shingles have the Jaccard similarity or more, compared by their 64-bit hashes; pairs are
+    looked for among fingerprints of ``reach(similarity)`` or fewer differing bits of 256, and texts of one
+    fingerprint count as alike. component_id is the smallest id reachable over links. A null text is empty; texts without words have fingerprint zero and are one group. Texts
     of fewer than ``width`` words link to the same words only. Null ids stay and are never a component's id unless
     it has no other. Repeated rows stay, an empty table gives an empty one, other columns are left behind."""
     kept = [id_col, *keep]
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept) + ", fp binary"
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept) + ", fp binary, shingles binary"
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = pa.array([fingerprint(x, width) for x in utf8(batch.column(len(kept)))], pa.binary())
-        return pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(kept))], found], [*kept, "fp"])
+        sets = [shingles(x, width) for x in utf8(batch.column(len(kept)))]
+        found = [pa.array([bits_of(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())]
+        return pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(kept))], *found], [*kept, "fp", "shingles"])
 
     rows = written(map_batches(df, [*kept, text_col], schema, kernel), "wide-fingerprints")
     distinct = written(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "wide-distinct")
-    edges = written(links(distinct, layout(distinct.count(), similarity), reach(similarity)), "wide-links")
+    most = reach(similarity)
+    found = written(candidates(distinct, layout(distinct.count(), similarity), most), "wide-candidates")
+    pairs, late = found.where("key is null").select("u", "v"), found.where("key is not null").select("key", F.col("u").alias("fp"))
+    paired = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+    sets = written(rows.select("fp", "shingles").join(paired, "fp", "left_semi").dropDuplicates(["fp"]), "wide-shingles")
+    edges = written(verified(pairs, sets, similarity), "wide-links")
+    if not late.isEmpty():
+        joined = components(edges)
+        late = late.join(joined, late.fp == joined.node, "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
+        edges = edges.unionByName(written(verified(unjoined(late, most), sets, similarity), "wide-late-links"))
     roots = components(edges)
     labelled = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
