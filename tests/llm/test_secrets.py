@@ -32,6 +32,20 @@ def test_automata_know_their_formats_and_leave_other_text():
     assert sum(secrets.format_of(s) is not None for s in secrets.ordinary_strings(2000, seed=92)) <= 4
 
 
+def test_candidates_of_any_length_are_scored():
+    pick, chars = random.Random(12), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    drawn = lambda more, n: "".join(pick.choices(chars + more, k=n))
+    for n in (100, 216, 217, 300, 700, 1500):
+        for _ in range(20):
+            claims = n - 8 - 33 - 43
+            key = f"eyJ{drawn('', 33)}.eyJ{drawn('_-', claims)}.{drawn('_-', 42)}x"
+            assert secrets.redact_text(f"use {key} here") == "use [SECRET] here", key
+    for n in (20, 24, 40, 64, 88, 100, 400):
+        found = [secrets.format_of("A" + drawn("+/", n - 2) + "z") for _ in range(40)]
+        assert sum(f is not None for f in found) >= 39, n
+    assert sum(secrets.format_of(s) is not None for s in secrets.ordinary_strings(3000, seed=94) if len(s) >= 16) <= 4
+
+
 def test_merging_folds_a_tail_and_keeps_a_head():
     pick = random.Random(4)
     a = secrets.Automaton(["key-" + "".join(pick.choices("0123456789abcdefghijklmnop", k=30)) for _ in range(150)])

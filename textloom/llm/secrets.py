@@ -208,16 +208,19 @@ def models() -> tuple[dict[str, Automaton], Automaton]:
 
 
 def format_of(run: str) -> str | None:
-    """The format that a candidate most likely has, if it beats ordinary text by the margins."""
+    """The format that a candidate most likely has, if it beats ordinary text by the margins.
+
+    Every format scores every candidate, whatever its length; of the formats that beat ordinary text, those
+    learnt at about this length are named first."""
     formats, ordinary = models()
-    plain, best = None, None
+    plain, best = ordinary.likelihood(run), None
     for name, automaton in formats.items():
-        least, most = automaton.lengths
-        if 0.75 * least <= len(run) <= 1.5 * most:
-            plain = ordinary.likelihood(run) if plain is None else plain
-            gain = automaton.likelihood(run) - plain
-            if gain >= max(TOTAL, MARGIN * len(run)) and (best is None or gain > best[0]):
-                best = gain, name
+        gain = automaton.likelihood(run) - plain
+        if gain >= max(TOTAL, MARGIN * len(run)):
+            least, most = automaton.lengths
+            rank = 0.75 * least <= len(run) <= 1.5 * most, gain
+            if best is None or rank > best[0]:
+                best = rank, name
     return best and best[1]
 
 
