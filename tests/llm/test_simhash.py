@@ -127,3 +127,12 @@ def test_near_duplicates_equal_brute_force(spark, odd, empty):
     assert sorted(str(r.doc_id) for r in kept) == sorted({str(x) for x in least.values()} | {"None"}) if None not in least.values() else True
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_first(empty).count() == 0
     assert simhash.keep_first(odd).columns == odd.columns
+
+
+def test_keep_first_keeps_every_component_of_a_repeated_id(spark):
+    from textloom.llm import simhash_wide
+
+    one, two = (" ".join(f"{c}{i}" for i in range(200)) for c in "ab")
+    df = spark.createDataFrame([(5, one), (5, two), (7, two + " end"), (8, one)], "doc_id long, text string")
+    for groups in (simhash.near_duplicates, simhash_wide.similar):
+        assert sorted((r.doc_id, r.text) for r in simhash.keep_first(df, groups=groups).collect()) == [(5, one), (5, two)]

@@ -186,12 +186,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups=near_duplicates) -> DataFrame:
     """One row for each component that ``groups`` finds, that of the smallest id, with all columns of ``df``.
 
-    If that id stands on several rows of the component, the row with the smallest hash of its text stays. Rows
+    If that id stands on several rows of the component, the row with the smallest hash of its text stays; an id that
+    stands on unlike texts stands for each of their components. Rows
     without an id can't stand for a group: they all stay and make no other row go."""
-    mark = "__text_hash"
+    mark, key = "__text_hash", "__id_and_hash"
     marked = df.withColumn(mark, F.xxhash64(F.col(text_col)))
     named = marked.where(F.col(id_col).isNotNull())
-    found = groups(named, id_col, text_col, keep=(mark,))
-    first = found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.min(mark).alias(mark))
+    own = F.struct(F.col(id_col).alias("id"), F.col(mark).alias("hash"))  # unlike texts of one id are told apart
+    found = groups(named.select(own.alias(key), text_col), key, text_col)
+    first = found.where(F.col(key) == F.col("component_id")).select(F.col(key)["id"].alias(id_col), F.col(key)["hash"].alias(mark))
     kept = named.join(first, [id_col, mark], "left_semi").dropDuplicates([id_col, mark])
     return kept.unionByName(marked.where(F.col(id_col).isNull())).select(df.columns)
