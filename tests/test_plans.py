@@ -88,3 +88,10 @@ def test_titles(spark):
     texts = ["Contents\n\nThe long way home. It was late;\n# Field Guide | draft", "目录\n\n创始人行动手册", None, "1234\nab", "Some words here!"]
     rows = best_title(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
     assert [(r.title, r.score) for r in rows] == [("Field Guide | draft", 112), ("创始人行动手册", 133), (None, 0), (None, 0), ("Some words here!", 60)]
+
+
+def test_delimited_files_are_read_whole(spark):
+    from textloom.plans.queries import QUERIES
+
+    plan = QUERIES["delimited_files"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "substr" not in plan.lower()

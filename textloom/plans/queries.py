@@ -271,7 +271,7 @@ def csv_to_markdown(spark, sf):
 
 @query
 def delimited_files(spark, sf):
-    rows = docs(spark, sf).select("doc_id", V.csv_to_markdown(F.substring("text", 1, 100_000_000)).alias("markdown"))
+    rows = docs(spark, sf).select("doc_id", V.csv_to_markdown("text").alias("markdown"))
     return rows.select("doc_id", F.length("markdown").alias("chars"))
 
 
