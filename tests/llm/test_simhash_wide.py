@@ -148,3 +148,66 @@ def test_all_pairs_near_under_a_key_are_proposed_or_looked_at_again():
     wanted = {frozenset((int(i), int(j))) for i, j in zip(*np.nonzero(near), strict=True) if i != j}
     assert again == wanted
     assert all(p in pairs or late[list(p)].all() for p in wanted)
+
+
+def test_long_runs_are_keyed_again_and_lose_nothing(spark):
+    pick = random.Random(12)
+    base = [f"b{i}" for i in range(500)]
+    rows = [(k, edited(pick, base, 2 + k % 6, f"h{k}x")) for k in range(220)] + [(1000 + k, " ".join(f"o{k}w{i}" for i in range(60))) for k in range(40)]
+    text = dict(rows)
+    want = groups(sorted(text), lambda a, b: a < 1000 and b < 1000 and jaccard(text[a], text[b]) >= 0.8)
+    found = simhash_wide.similar(spark.createDataFrame(rows, "doc_id long, text string"), long=40).collect()
+    assert {r.doc_id: r.component_id for r in found} == want
+
+
+def test_unlike_texts_of_one_id_stay(spark):
+    alpha, one = " ".join(f"alpha{i}" for i in range(40)), " ".join(f"one{i}" for i in range(40))
+    df = spark.createDataFrame([(5, alpha), (5, one), (7, one + " end"), (7, one + " end"), (9, alpha), (8, "quite different words stand here")], "doc_id long, text string")
+    for found in (simhash.near_duplicates, simhash_wide.similar):
+        kept = sorted((r.doc_id, r.text) for r in simhash.keep_first(df, groups=found).collect())
+        assert kept == sorted([(5, alpha), (5, one), (8, "quite different words stand here")] + ([(7, one + " end")] if found is simhash.near_duplicates else []))
+
+
+def test_each_pair_belongs_to_one_of_its_keys():
+    pick = np.random.default_rng(4)
+    base = pick.integers(0, 256, (40, 32), dtype=np.uint8)
+    rows = np.concatenate([base, *[base ^ np.packbits(pick.random((40, 256)) < 0.06, axis=1) for _ in range(4)]])
+    segments = simhash_wide.layout(3000, 0.8)
+    bits = np.unpackbits(rows, axis=1)
+    keys = [set() for _ in rows]
+    for _, at, found in simhash_wide.sent_keys(rows, segments):
+        for i, key in zip(at.tolist(), found.tolist(), strict=True):
+            keys[i].add(key)
+    met = 0
+    for i in range(60):
+        for j in range(i + 1, len(rows)):
+            shared = keys[i] & keys[j]
+            owners = [k for k in shared if simhash_wide.owned(segments, bits, np.array([i]), np.array([j]), k)[0]]
+            assert len(owners) == bool(shared)
+            met += bool(shared)
+    assert met > 200
+
+
+def test_pairs_meet_with_the_chance_that_the_layout_is_made_for():
+    pick = np.random.default_rng(14)
+    for count in (10**4, 10**6, 10**8):
+        segments = simhash_wide.layout(count, 0.8)
+        base = pick.integers(0, 256, (3000, 32), dtype=np.uint8)
+        other = base ^ np.packbits(pick.random((3000, 256)) < simhash_wide.differing(0.8), axis=1)
+        met = np.zeros(3000, dtype=bool)
+        for (_, at, a), (_, bt, b) in zip(simhash_wide.sent_keys(base, segments), simhash_wide.sent_keys(other, segments), strict=True):
+            both = set(zip(at.tolist(), a.tolist(), strict=True)) & set(zip(bt.tolist(), b.tolist(), strict=True))
+            met[[i for i, _ in both]] = True
+        assert met.mean() > 0.975
+
+
+def test_sketches_deny_no_pair_of_the_similarity():
+    pick = np.random.default_rng(6)
+    for n, share in ((40, 0.85), (300, 0.82), (4000, 0.81), (20000, 0.8)):
+        for _ in range(40):
+            core = pick.integers(0, 2**32, n, dtype=np.uint32)
+            extra = round(n * (1 - share) / (2 * share))
+            a, b = (np.unique(np.concatenate([core, pick.integers(0, 2**32, extra, dtype=np.uint32)])).tobytes() for _ in range(2))
+            assert simhash_wide.may_be_alike(a[: 4 * simhash_wide.SKETCH], b[: 4 * simhash_wide.SKETCH], 0.8) >= simhash_wide.alike(a, b, 0.8)
+        other = np.unique(pick.integers(0, 2**32, n, dtype=np.uint32)).tobytes()
+        assert not simhash_wide.may_be_alike(a[: 4 * simhash_wide.SKETCH], other[: 4 * simhash_wide.SKETCH], 0.8)

@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 #: Bytes of text handed to a native kernel at once; bounds what a Python worker holds beside its Arrow batch.
 KERNEL_BYTES = 2 << 20
@@ -37,23 +39,46 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and reads it back: cuts lineage, survives lost executors."""
+#: Folders of the tables that ``written`` has made in this process and nothing has removed yet.
+_made: dict[str, SparkSession] = {}
+
+
+def written(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Writes ``df`` as Parquet in the shared folder and reads it back: cuts lineage, survives lost executors.
+
+    The folder stays until ``discard`` or ``release`` removes it. ``by`` names a column to partition the files by."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/textloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._textloom_path = path
+    _made[path] = spark
     return back
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    _made.pop(path, None)
+
+
 def discard(df: DataFrame) -> None:
     """Removes a table made by ``written`` that nothing will read again."""
     path = getattr(df, "_textloom_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+        remove(df.sparkSession, path)
+
+
+def tables_made() -> frozenset[str]:
+    """The tables that stand now; what ``release`` is told to leave alone."""
+    return frozenset(_made)
+
+
+def release(spark: SparkSession, before: frozenset[str], *kept: DataFrame) -> None:
+    """Removes what ``written`` has made since ``before`` was taken, but for ``kept``: once its result is written itself."""
+    spared = {getattr(df, "_textloom_path", None) for df in kept}
+    for path in [x for x, session in _made.items() if x not in before and x not in spared and session is spark]:
+        remove(spark, path)
 
 
 def utf8(column: pa.Array) -> list[bytes]:
@@ -93,6 +118,73 @@ def small(batch: pa.RecordBatch, most: int = KERNEL_BYTES) -> Iterator[pa.Record
         yield batch.slice(run.start, run.stop - run.start)
 
 
+class Sieve:
+    """A Bloom filter over 64-bit hashes: three places of each in a table of bits, of a size that is a power of two."""
+
+    def __init__(self, bits: int, words: np.ndarray):
+        self.bits, self.words = bits, words
+
+    @staticmethod
+    def places(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
+        x = hashes.view(np.uint64)
+        return [((x >> np.uint64(shift)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64) for shift in (0, 17, 31)]
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        """Whether each hash may be among those of the filter; no hash of it is ever denied."""
+        found = np.ones(len(hashes), dtype=bool)
+        for at in self.places(hashes, self.bits):
+            found &= (self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) != 0
+        return found
+
+
+#: A filter has 16 bits for each of its keys, but 2 ** SIEVE_BITS (16 MB) at most; with more keys it lets more pass.
+SIEVE_BITS = 27
+
+
+def sieve(keys: DataFrame, column: str) -> Sieve:
+    """The Bloom filter of a column of 64-bit hashes: places are put together by word before the driver gets them."""
+    count = keys.count()
+    bits = min(SIEVE_BITS, max(16, int(16 * count).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.concatenate(Sieve.places(batch.column(0).to_numpy(), bits))
+            word, masks = at >> 6, np.uint64(1) << (at & 63).astype(np.uint64)
+            order = np.argsort(word, kind="stable")
+            names, begins = np.unique(word[order], return_index=True)
+            if len(names):
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.bitwise_or.reduceat(masks[order], begins).view(np.int64))], ["word", "mask"])
+
+    found = keys.select(column).mapInArrow(run, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    words = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    words[found.column("word").to_numpy()] = found.column("mask").to_numpy().view(np.uint64)
+    return Sieve(bits, words)
+
+
+def sieved(df: DataFrame, held: Sieve, column: str) -> DataFrame:
+    """``df`` with ``__may``: whether the filter may hold the row's hash in ``column``. A map; all other columns pass through."""
+    shared = df.sparkSession.sparkContext.broadcast(held)
+    schema = StructType([*df.schema.fields, StructField("__may", BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mask = shared.value.holds(batch.column(batch.schema.get_field_index(column)).to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(mask)], [*batch.schema.names, "__may"])
+
+    return df.mapInArrow(run, schema)
+
+
+def among(df: DataFrame, held: Sieve, column: str) -> DataFrame:
+    """The rows of ``df`` whose hash in ``column`` the filter may hold."""
+    shared = df.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(shared.value.holds(batch.column(batch.schema.get_field_index(column)).to_numpy())))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def give_back() -> None:
     """Returns freed memory to the system: workers are used again, and what one stage kept would add to the next."""
     gc.collect()

@@ -20,8 +20,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import map_batches, utf8, written
-from textloom.llm.components import components
+from textloom.llm.common import map_batches, release, sieve, sieved, tables_made, utf8, written
+from textloom.llm.components import attach, component_ids
 
 SEED = 42
 #: Fingerprints under one key that are compared with each other at once; longer runs are keyed again.
@@ -72,6 +72,11 @@ def _keyed(segment: Column, tag: Column, bits: int) -> Column:
     return F.when(F.bit_count(segment) % 2 == 0, F.concat(own, out)).otherwise(own)
 
 
+def evenly(fps: DataFrame) -> DataFrame:
+    """Fingerprints in as many partitions as a shuffle has, before each of them sends out dozens of keys."""
+    return fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+
+
 def first_keys(distinct: DataFrame) -> DataFrame:
     """(fp) -> (tag, key, ball, fp): tag 0 for the upper segment, 1 for the lower."""
     fp = F.col("fp")
@@ -91,29 +96,25 @@ def second_keys(deferred: DataFrame) -> DataFrame:
 
 
 def _forest(fps: np.ndarray, ball: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links within one run; balls are compared with table entries only."""
-    n = len(fps)
-    root = np.arange(n)
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
+    """A spanning forest of the links within one run, in blocks; balls are compared with table entries only."""
+    label = np.arange(len(fps))
     us, vs = [], []
     table = np.flatnonzero(~ball)
-    for a in range(0, n, RUN):
+    for a in range(0, len(fps), RUN):
         for b in range(0, len(table), RUN):
             cols = table[b : b + RUN]
             near = np.bitwise_count(fps[a : a + RUN, None] ^ fps[None, cols]) <= most
-            for i, j in zip(*np.nonzero(near), strict=True):
-                i, j = a + int(i), int(cols[j])
-                if i != j and (x := top(i)) != (y := top(j)):
-                    root[max(x, y)] = min(x, y)
-                    if fps[i] != fps[j]:
-                        us.append(fps[i])
+            for i in np.flatnonzero(near.any(axis=1)).tolist():
+                own = cols[near[i]]
+                found = label[own]
+                apart = found != label[a + i]
+                while apart.any():  # once for each component that this row joins
+                    j = int(own[apart.argmax()])
+                    if fps[a + i] != fps[j]:
+                        us.append(fps[a + i])
                         vs.append(fps[j])
+                    apart &= found != label[j]
+                    label[label == label[j]] = label[a + i]
     return np.array(us, dtype=np.uint64), np.array(vs, dtype=np.uint64)
 
 
@@ -165,22 +166,22 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Fingerprints link at ``most`` (3 at most) or fewer differing bits; component_id is the smallest id reachable
     over links. A null text is empty, and texts without words have fingerprint zero, which links like any other.
-    Null ids stay and are never a component's id unless it has no other. Repeated rows stay; an empty table gives
-    an empty one; other columns are left behind. ``width`` words make a shingle."""
+    A long text is one fingerprint of all its shingles. Null ids stay and are never a component's id unless it has no
+    other. Repeated rows stay, and so do rows of one id with unlike texts, each in its own component; an empty table
+    gives an empty one; other columns are left behind. ``width`` words make a shingle."""
     if not 0 <= most <= 3:
         raise ValueError("two segments with balls of radius one find up to three differing bits")
+    spark, standing = df.sparkSession, tables_made()
     rows = written(fingerprints(df, id_col, text_col, width, keep), "fingerprints")
-    distinct = rows.groupBy("fp").agg(F.min(id_col).alias("least"))
-    found = written(links(first_keys(distinct.select("fp")), most), "links")
+    distinct = written(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct-fingerprints")
+    found = written(links(first_keys(evenly(distinct.select("fp"))), most), "links")
     edges = found.where("tag is null").select("u", "v")
     late = found.where("tag is not null").select(F.col("u").alias("fp"), F.col("v").alias("key"), "tag")
     if not late.isEmpty():
-        edges = edges.unionByName(links(second_keys(late), most, defer=False).select("u", "v"))
-    roots = components(edges)
-    labelled = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = labelled.join(ids, "root").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select(id_col, *keep, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+        edges = edges.unionByName(written(links(second_keys(late), most, defer=False).select("u", "v"), "late-links"))
+    by_fp = component_ids(distinct, edges)
+    release(spark, standing, rows, by_fp)
+    return attach(rows, by_fp, "fp").select(id_col, *keep, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups=near_duplicates) -> DataFrame:
@@ -188,12 +189,25 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", gr
 
     If that id stands on several rows of the component, the row with the smallest hash of its text stays; an id that
     stands on unlike texts stands for each of their components. Rows
-    without an id can't stand for a group: they all stay and make no other row go."""
+    without an id can't stand for a group: they all stay and make no other row go.
+
+    Only ids and hashes decide. What goes, and what stands more than once, is put in a Bloom filter; texts that it
+    denies stay where they are, and only the others are shuffled, to be looked up exactly."""
     mark, key = "__text_hash", "__id_and_hash"
+    spark, standing = df.sparkSession, tables_made()
     marked = df.withColumn(mark, F.xxhash64(F.col(text_col)))
     named = marked.where(F.col(id_col).isNotNull())
     own = F.struct(F.col(id_col).alias("id"), F.col(mark).alias("hash"))  # unlike texts of one id are told apart
     found = groups(named.select(own.alias(key), text_col), key, text_col)
-    first = found.where(F.col(key) == F.col("component_id")).select(F.col(key)["id"].alias(id_col), F.col(key)["hash"].alias(mark))
-    kept = named.join(first, [id_col, mark], "left_semi").dropDuplicates([id_col, mark])
-    return kept.unionByName(marked.where(F.col(id_col).isNull())).select(df.columns)
+    decided = found.groupBy(key).agg(F.count("*").alias("rows"), F.bool_and(F.col(key) == F.col("component_id")).alias("first"))
+    decided = written(decided.where("not first or rows > 1").select(F.col(key)["id"].alias(id_col), F.col(key)["hash"].alias(mark), "first"), "near-duplicate-rows")
+    release(spark, standing, decided)
+    both = F.xxhash64(id_col, mark)
+    split = sieved(marked.withColumn("__key", F.when(F.col(id_col).isNull(), F.lit(None).cast("long")).otherwise(both)).fillna(0, ["__key"]), sieve(decided.select(both.alias("h")), "h"), "__key")
+    may = F.col("__may") & F.col(id_col).isNotNull()
+    asked = split.where(may)
+    kept = split.where(~may).unionByName(asked.join(decided.drop("first"), [id_col, mark], "left_anti"))
+    again = decided.where("first").drop("first")
+    if not again.isEmpty():
+        kept = kept.unionByName(asked.join(again, [id_col, mark], "left_semi").dropDuplicates([id_col, mark]))
+    return kept.select(df.columns)
