@@ -32,6 +32,11 @@ def test_automata_know_their_formats_and_leave_other_text():
     assert sum(secrets.format_of(s) is not None for s in secrets.ordinary_strings(2000, seed=92)) <= 4
 
 
+def test_formats_of_varied_lengths_are_known():
+    for name, strings in secrets.labelled_credentials(60, seed=95, vary=True).items():
+        assert sum(secrets.format_of(s) is not None for s in strings if len(s) >= 20) >= 0.95 * sum(len(s) >= 20 for s in strings), name
+
+
 def test_candidates_of_any_length_are_scored():
     pick, chars = random.Random(12), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     drawn = lambda more, n: "".join(pick.choices(chars + more, k=n))
@@ -76,3 +81,18 @@ def test_redaction_keeps_everything_else(spark, odd, empty):
     out = secrets.redact(odd)
     assert out.schema == odd.schema and sorted(map(str, out.collect())) == sorted(map(str, odd.collect()))
     assert secrets.redact(empty).count() == 0
+
+
+def test_each_format_is_found_at_half_to_ten_times_its_length():
+    pick = random.Random(77)
+    for name, pieces in secrets.FORMATS:
+        for factor in (0.5, 1, 3, 10):
+            made = ["".join(p if isinstance(p, str) else "".join(pick.choices(p[0], k=int(p[1] * factor))) for p in pieces) for _ in range(30)]
+            assert sum(secrets.format_of(s) is not None for s in made) >= 29, (name, factor)
+
+
+def test_addresses_and_names_are_no_secrets():
+    for text in ("see https://cdn.Example.com/assets/v2/Xk29dkQpZ81mZ/img.png here", "cdn.example.com/Static/Bundles/MainPage.min.js", "com.Apple.WebKit.Networking.Process", "id 550e8400-e29b-41d4-a716-446655440000", "MAX_RETRY_COUNT_PER_HOST_2024", "InternationalizationConfigurationManager2024"):
+        assert secrets.redact_text(text) == text, text
+    key = secrets.labelled_credentials(1, seed=3)["github"][0]
+    assert secrets.redact_text(f"https://example.com/hook/{key}/x") == "https://example.com/hook/[SECRET]/x"

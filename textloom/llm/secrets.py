@@ -55,10 +55,11 @@ FORMATS = (
 )
 
 
-def labelled_credentials(per_format: int = PER_FORMAT, seed: int = 5) -> dict[str, list[str]]:
-    """Made-up credentials of public formats, the same in every process."""
+def labelled_credentials(per_format: int = PER_FORMAT, seed: int = 5, vary: bool = False) -> dict[str, list[str]]:
+    """Made-up credentials of public formats, the same in every process; if they vary, drawn parts have half to one and a half times their length."""
     pick = random.Random(seed)
-    return {name: ["".join(p if isinstance(p, str) else "".join(pick.choices(p[0], k=p[1])) for p in pieces) for _ in range(per_format)] for name, pieces in FORMATS}
+    drawn = lambda chars, size: "".join(pick.choices(chars, k=pick.randint(size // 2, size + size // 2) if vary else size))
+    return {name: ["".join(p if isinstance(p, str) else drawn(*p) for p in pieces) for _ in range(per_format)] for name, pieces in FORMATS}
 
 
 def ordinary_strings(count: int = 900, seed: int = 6) -> list[str]:
@@ -78,6 +79,10 @@ def ordinary_strings(count: int = 900, seed: int = 6) -> list[str]:
         lambda: word() + digits(1, 4) + "." + word() + digits(0, 3) + "." + pick.choice(("com", "org", "example")),
         lambda: word() + "-" + digits(4, 4) + "-" + digits(2, 2) + "-" + digits(2, 2) + "." + word(),
         lambda: pick.choice("=-_.+") * pick.randint(16, 40),
+        lambda: ".".join(pick.choice((word(), word().capitalize() + word().capitalize(), word().upper())) for _ in range(pick.randint(3, 6))),
+        lambda: pick.choice("_-").join(pick.choice((word().capitalize(), word().upper())) for _ in range(pick.randint(3, 5))) + digits(0, 4),
+        lambda: "".join(word().capitalize() for _ in range(pick.randint(3, 6))) + digits(0, 4),
+        lambda: "-".join("".join(pick.choices("0123456789abcdef", k=k)) for k in (8, 4, 4, 4, 12)),
     )
     return [pick.choice(kinds)() for _ in range(count)]
 
@@ -204,7 +209,11 @@ class Automaton:
 @lru_cache(maxsize=1)
 def models() -> tuple[dict[str, Automaton], Automaton]:
     """The automata of all formats, and that of ordinary text; learnt once in a process, the same in each."""
-    return {name: Automaton(strings) for name, strings in labelled_credentials().items()}, Automaton(ordinary_strings())
+    usual, varied = labelled_credentials(), labelled_credentials(PER_FORMAT // 2, seed=7, vary=True)
+    found = {name: Automaton(usual[name] + varied[name]) for name in usual}
+    for name, strings in usual.items():
+        found[name].lengths = min(map(len, strings)), max(map(len, strings))
+    return found, Automaton(ordinary_strings())
 
 
 def format_of(run: str) -> str | None:
@@ -235,16 +244,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found, key=lambda x: (x[0], x[2]))
 
 
+_MARKS = ".=-+/_"
+#: A host that a path follows; what stands behind "//" is a host and path in any case.
+_HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+/")
+
+
 def candidates(text: str) -> Iterator[tuple[int, int]]:
-    """Long runs of credential characters that are not of lower-case letters alone, without marks at their ends."""
+    """Long runs of credential characters that are not of lower-case letters alone, without marks at their ends.
+
+    A host with its path is no run, but each part of it between slashes is one."""
     for m in CANDIDATE.finditer(text):
-        run = m[0].rstrip(".=-+/_")
-        a = m.start() + len(run) - len(run.lstrip(".=-+/_"))
-        b = m.start() + len(run)
-        if b - a >= 16 and not text[a + 1 : b].islower():
-            yield a, b
-        elif b - a >= 16 and any(c in _DIGIT for c in text[a:b]):
-            yield a, b
+        run, begin = m[0], m.start()
+        for part in run.split("/") if "/" in run and (run.startswith("//") or _HOST.match(run)) else (run,):
+            a, b = begin + len(part) - len(part.lstrip(_MARKS)), begin + len(part.rstrip(_MARKS))
+            begin += len(part) + 1
+            if b - a >= 16 and (not text[a + 1 : b].islower() or any(c in _DIGIT for c in text[a:b])):
+                yield a, b
 
 
 def all_spans(text: str) -> list[tuple[int, int, int]]:
@@ -261,8 +276,8 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: its id column and ``spans``, an array of (start, end, kind) in code points, ordered.
 
-    A null or empty text has none. Repeated rows have equal spans; other columns are left behind; an empty table
-    gives an empty one. Spans of different base kinds may overlap; added ones never overlap base ones."""
+    A null or empty text has none; a long one is scanned whole. Repeated rows have equal spans, null ids stay; other
+    columns are left behind; an empty table gives an empty one. Spans of different base kinds may overlap; added ones never overlap base ones."""
     kind = df.schema[id_col].dataType.simpleString()
     shape = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
@@ -297,7 +312,10 @@ def redact_text(text: str, mark: str = "[SECRET]") -> str:
 
 
 def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """All rows and columns of ``df``, with the secrets in ``text_col`` replaced by a mark; nulls stay null."""
+    """All rows and columns of ``df``, with the secrets in ``text_col`` replaced by a mark; nulls stay null.
+
+    Empty texts, repeated rows and null ids stay; long texts are scanned whole; an empty table stays empty; columns
+    of any other name pass through."""
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         at = batch.schema.get_field_index(text_col)
