@@ -68,4 +68,17 @@ def test_found_equals_brute_force(spark, odd, empty):
     assert decontam.contamination(empty, bench.limit(5)).count() == 0 and decontam.contamination(odd, bench.limit(0)).count() == 0
     assert decontam.keep_clean(odd, bench.limit(0)).count() == odd.count()
     blocked = decontam.blocks(bench, most=600)
-    assert sum(len(b) for b in blocked) == 30
+    assert sum(len(b) for b in blocked) == 31
+    in_blocks = decontam.contamination(df, bench, block_bytes=600).collect()
+    assert sorted(map(str, in_blocks)) == sorted(map(str, rows))
+    assert sorted(str(r) for r in decontam.keep_clean(df, bench, block_bytes=600).collect()) == sorted(str(r) for r in decontam.keep_clean(df, bench).collect())
+
+
+def test_short_items_stand_as_whole_words_and_long_words_are_searched(spark):
+    cjk = "".join(chr(0x4E00 + 37 * i % 9000) for i in range(60))
+    bench = spark.createDataFrame([(1, "alpha"), (2, "Beta  gamma"), (3, cjk), (4, "a b c d e"), (5, "  ")], "item_id long, text string")
+    texts = {1: "an ALPHA here", 2: "alphabet soup", 3: "beta\ngamma", 4: "beta gammas", 5: "x" + cjk[:20] + "q" + cjk[21:] + "y", 6: cjk[:30], 7: "alpha", 8: "xa b c d ey", 9: None, 10: "not alpha, but alpha", 11: "beta gamma " + "w " * 300_000 + "alpha"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {(r.doc_id, r.item_id, r.places) for r in decontam.contamination(df, bench).collect()}
+    assert found == {(1, 1, 1), (3, 2, 1), (5, 3, 1), (7, 1, 1), (8, 4, 1), (10, 1, 1), (11, 1, 1), (11, 2, 1)}
+    assert {r.doc_id for r in decontam.keep_clean(df, bench).collect()} == {2, 4, 6, 9}
