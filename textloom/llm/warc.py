@@ -18,7 +18,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import give_back, shared_dir, small, written
+from textloom.llm.common import give_back, release, shared_dir, small, tables_made, written
 
 #: Payloads of fewer bytes are never revisited.
 LEAST_REVISIT = 100
@@ -26,17 +26,19 @@ LEAST_REVISIT = 100
 DICTIONARY_FRAME = 0x184D2A5D
 SAMPLE_BYTES, DICTIONARY_BYTES = 2 << 20, 64 << 10
 FILE_BYTES = 256 << 20
+#: Tasks that read archives back, at most.
+MOST_READERS = 1 << 16
 LEVEL = 6
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAME = "urn:textloom:page:"
 
 
-def record(page_id, url: str | None, payload: bytes, digest: str, refers_to, date: str) -> bytes:
-    """One WARC/1.1 record; a revisit holds the HTTP head only."""
+def record(page_id, url: str | None, payload: bytes, digest: str, refers_to, date: str, copy: str = "") -> bytes:
+    """One WARC/1.1 record; a revisit holds the HTTP head only. ``copy`` tells records of one page id apart."""
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = head if refers_to is not None else head + payload
     lines = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{NAME}{'' if page_id is None else page_id}>",
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{NAME}{'' if page_id is None else page_id}{copy}>",
         f"WARC-Date: {date}", f"WARC-Target-URI: {quote(url or 'about:blank', safe=':/?#[]@!$&()*+,;=%~')}", f"WARC-Payload-Digest: sha256:{digest}",
     ]
     if refers_to is not None:
@@ -144,15 +146,19 @@ def read_records(path: str) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def planned(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, payload, digest, refers_to): of equal payloads of LEAST_REVISIT bytes or more, rows of the
-    smallest id are responses, the others revisit it."""
+    """(page_id, url, payload, digest, refers_to, repeated): of equal payloads of LEAST_REVISIT bytes or more, rows of
+    the smallest id are responses, the others revisit it; ``repeated`` says that other rows have the same id.
+
+    Only ids and digests are grouped. What they tell is written, so that the planner knows its size: payloads are
+    shuffled only if it is too large to be sent to them, and then by digests, where adaptive execution splits hot ones."""
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
-    long = rows.where(F.octet_length("payload") >= LEAST_REVISIT)
-    first = long.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    joined = rows.join(first, "digest", "left")  # a hot digest is split by adaptive execution
+    keys = written(rows.select("page_id", "digest", (F.octet_length("payload") >= LEAST_REVISIT).alias("long")), "warc-keys")
+    first = written(keys.where("long").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"), "warc-first")
+    again = written(keys.groupBy("page_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("page_id").alias("__again"), F.lit(True).alias("__is_again")), "warc-repeated")
+    joined = rows.join(first, "digest", "left").join(again, F.col("page_id").eqNullSafe(F.col("__again")), "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    return joined.select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
+    return joined.select("page_id", "url", "payload", "digest", refers.alias("refers_to"), F.coalesce("__is_again", F.lit(False)).alias("repeated"))
 
 
 def write_archives(plan: DataFrame, folder: str, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
@@ -165,9 +171,8 @@ def write_archives(plan: DataFrame, folder: str, date: str = "2000-01-01T00:00:0
         out = Writer(folder)
         for whole in batches:
             for batch in small(whole):
-                ids, urls, payloads, digests, refers = (c.to_pylist() for c in batch.columns)
-                for page_id, url, payload, digest, refers_to in zip(ids, urls, payloads, digests, refers, strict=True):
-                    out.add(record(page_id, url, payload, digest, refers_to, date))
+                for page_id, url, payload, digest, refers_to, repeated in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                    out.add(record(page_id, url, payload, digest, refers_to, date, f":{uuid.uuid4().hex}" if repeated else ""))
         done = out.finish()
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], ["path", "records", "bytes"])
@@ -179,10 +184,12 @@ def write_archives(plan: DataFrame, folder: str, date: str = "2000-01-01T00:00:0
 def read_archives(manifest: DataFrame) -> DataFrame:
     """One row per record of the archives in ``path``: its type, ids, URL, digests and the size of its payload.
 
-    A response's digest and size are taken of the payload as read; a revisit's from its headers."""
+    A response's digest and size are taken of the payload as read; a revisit's from its headers. Each archive is a
+    partition of its own (up to MOST_READERS), since a manifest's own bytes say nothing of the work behind them."""
 
     def page(name: str) -> int | None:
-        return int(name.removeprefix(f"<{NAME}").rstrip(">")) if name not in ("", f"<{NAME}>") else None
+        own = name.removeprefix(f"<{NAME}").rstrip(">").partition(":")[0]
+        return int(own) if own else None
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, path string"
     names = [x.split()[0] for x in schema.split(", ")]
@@ -208,16 +215,20 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield out(rows)
 
-    return manifest.select("path").repartition("path").mapInArrow(run, schema)
+    return manifest.select("path").repartition(max(1, min(manifest.count(), MOST_READERS))).mapInArrow(run, schema)
 
 
 def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", folder: str | None = None) -> DataFrame:
     """Writes a record per row and reads the archives back: one row per row of ``pages``.
 
-    A null html is an empty payload, a null url is about:blank. Rows that repeat the id and payload of a response
-    are responses too. A null id stays null. Other columns are left behind; an empty table gives an empty one."""
+    A null html is an empty payload, a null url is about:blank; a long html is one record. Rows that repeat the id and
+    payload of a response are responses too. A null id stays null. Record ids are unique: rows whose page id repeats
+    (or is null) add a random part to it, and a revisit of such a page names what its records' ids begin with. Other columns are left behind; an empty table gives an empty one."""
     folder = folder or f"{shared_dir(pages.sparkSession)}/textloom/warc-{uuid.uuid4().hex}"
-    return read_archives(write_archives(planned(pages, id_col, url_col, html_col), folder))
+    standing = tables_made()
+    manifest = write_archives(planned(pages, id_col, url_col, html_col), folder)
+    release(pages.sparkSession, standing, manifest)
+    return read_archives(manifest)
 
 
 #: The same rows from the table itself.
