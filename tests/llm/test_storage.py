@@ -39,6 +39,42 @@ def test_maps_are_versioned_and_growth_takes_an_equal_share(spark, tmp_path):
     assert total(heavy, 24) > 0.03 * sum(1000 if s % 24 == 0 else 1 for s in one)
 
 
+def test_equal_rows_and_a_hot_id_are_numbered_without_gaps(spark):
+    rows = [(None, "")] * 300 + [(None, f"t{i}") for i in range(400)] + [(5, "x")] * 40 + [(i, "y" * (i % 50)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    first = slots.first_map(spark, 24)
+    found = slots.shard_rows(df, (first, slots.add_shard(first, 24))).collect()
+    by, held = {}, Counter()
+    for r in found:
+        by.setdefault(r.shard, []).append(r)
+        held[r.vslot] += r.size
+    assert len(found) == len(rows) and all(r.slot_bytes == held[r.vslot] for r in found)
+    for own in by.values():
+        assert sorted(r.slot for r in own) == list(range(len(own)))
+        order = [(r.vslot, r.text_crc32 % slots.PARTS, r.doc_id is not None, r.doc_id or 0, r.text_crc32, r.size) for r in sorted(own, key=lambda r: r.slot)]
+        assert order == sorted(order)
+
+
+def test_rebalancing_weighs_slots_by_their_bytes(spark):
+    sizes = spark.createDataFrame([(v, 5000 if v % 24 == 3 else 10 + v % 7, 1) for v in range(slots.SLOTS)], "vslot int, bytes long, rows long")
+    before, after = slots.first_map(spark, 24), slots.rebalanced(slots.first_map(spark, 24), sizes)
+    weigh = lambda m: [r.b for r in m.join(sizes, "vslot").groupBy("shard").agg(F.sum("bytes").alias("b")).collect()]
+    assert max(weigh(before)) > 10 * sorted(weigh(before))[0] and max(weigh(after)) < 1.25 * min(weigh(after))
+    one, two = ({r.vslot: r.shard for r in m.collect()} for m in (before, after))
+    assert len(two) == slots.SLOTS and all(one[v] == 3 for v in one if one[v] != two[v]) and after.first().version == 2
+
+
+def test_record_ids_are_unique(spark, tmp_path):
+    rows = [(1, "u", "a" * 200), (1, "u", "a" * 200), (1, "u", "b" * 200), (2, "u", "a" * 200), (None, "u", "c"), (None, "u", "c"), (3, "u", "d" * 300_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    manifest = warc.write_archives(warc.planned(df), "file://" + str(tmp_path))
+    names = [h["warc-record-id"] for r in manifest.collect() for h, _ in warc.read_records(r.path)]
+    assert len(names) == len(set(names)) == len(rows)
+    found = sorted((str(r.page_id), r.record_type, r.refers_to) for r in warc.read_archives(manifest).collect())
+    assert found == sorted([("1", "response", None)] * 3 + [("2", "revisit", 1)] + [("None", "response", None)] * 2 + [("3", "response", None)])
+    assert warc.read_archives(manifest).rdd.getNumPartitions() == manifest.count()
+
+
 def test_archives_round_trip(spark):
     same = "<p>" + "same " * 40
     rows = [(1, "http://a/x y\n", same), (2, None, same), (5, "http://b", same), (3, "u", None), (4, "u", None), (None, "u", "x" * 200), (6, "u", "ü" * 300 + "\r\n\r\n"), (6, "u", "ü" * 300 + "\r\n\r\n"), (7, "u", "small"), (8, "u", "small")]

@@ -29,11 +29,12 @@ def op2_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Puts every document into shards 0 to 23 through a stored map of virtual slots, and plans one shard more."""
+    """Puts every document into shards 0 to 23 through a stored map of virtual slots, with the bytes that each slot holds
+    stored beside it, and plans one shard more."""
     path = f"{shared_dir(spark)}/textloom/slot-map-{uuid.uuid4().hex}"
     slots.save_map(slots.first_map(spark, 24), path)
     slots.save_map(slots.add_shard(slots.load_map(spark, path, 1), 24), path)
-    return slots.shard_rows(table(spark, sf_dir, "documents"), (slots.load_map(spark, path, 1), slots.load_map(spark, path, 2)))
+    return slots.shard_rows(table(spark, sf_dir, "documents"), (slots.load_map(spark, path, 1), slots.load_map(spark, path, 2)), sizes_path=f"{path}-sizes")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
