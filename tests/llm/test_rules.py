@@ -72,5 +72,56 @@ def test_bands_reject_what_lies_far_off_and_keep_the_rest(spark):
     assert not any(rows[2000 + i] for i in range(5)) and not any(rows[1000 + i] for i in range(5))
 
 
+def test_rare_languages_have_bands_drawn_towards_their_script(spark):
+    import random
+
+    pick = random.Random(8)
+    word = lambda: "".join(pick.choice("bcdfghklmnprst") + pick.choice("aeiou") for _ in range(pick.randint(1, 4)))
+    rows = [(i, " ".join(word() for _ in range(200)), "xx") for i in range(120)] + [(500 + i, " ".join(word() for _ in range(200)), f"l{i}") for i in range(700)]
+    rows += [(2000 + i, " ".join(word() + "%%%" for _ in range(200)), f"junk{i}") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r.doc_id: r.kept for r in fertility.judge(df, MODEL).collect()}
+    assert sum(found[i] for i, _, _ in rows[:820]) >= 810 and not any(found[2000 + i] for i in range(3))
+    limits = fertility.bands(fertility.measures(df, MODEL)).where("level = 'lang'")
+    assert limits.count() == 704
+
+
+def plain_bands(values, below, above, least):
+    bins = sorted(round(v * fertility.STEPS) for v in values)
+    half = lambda xs: next(x for k, x in enumerate(xs) if 2 * (k + 1) >= len(xs))
+    median = half(bins)
+    mad = half(sorted(abs(x - median) for x in bins))
+    edge = lambda side, k: (median + side * max(k * 1.4826 * mad, least * fertility.STEPS)) / fertility.STEPS
+    return -1e9 if below is None else edge(-1, below), 1e9 if above is None else edge(1, above)
+
+
+def test_kept_equals_a_plain_computation(spark):
+    import random
+
+    pick = random.Random(21)
+    syllables = {"xx": ["ba", "ke", "li", "no"], "yy": ["стр", "ива", "по"], "zz": ["ar", "ün", "ök"]}
+    rows = []
+    for i in range(260):
+        lang = pick.choice(["xx", "xx", "xx", "yy", "zz", None])
+        word = lambda: "".join(pick.choice(syllables[lang or "xx"]) for _ in range(pick.randint(1, 4))) + pick.choice(["", "", "", "%"]) * (i % 13)  # noqa: B023, E731
+        rows.append((i, " ".join(word() for _ in range(pick.choice([30, 120, 300]))), lang))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    measured = fertility.measures(df, MODEL).collect()
+    good = [r for r in measured if not (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)]
+    want = {}
+    for r in measured:
+        kept = r in good
+        for m, spec in fertility.BANDS.items():
+            low, high = plain_bands([x[m] for x in good], *spec)
+            for group in ([x for x in good if x.script == r.script], [x for x in good if r.lang is not None and x.lang == r.lang]):
+                if group:
+                    w, (a, b) = len(group) / (len(group) + fertility.PRIOR), plain_bands([x[m] for x in group], *spec)
+                    low, high = w * a + (1 - w) * low, w * b + (1 - w) * high
+            kept = kept and low <= r[m] <= high
+        want[r.doc_id] = kept
+    found = {r.doc_id: r.kept for r in fertility.judge(df, MODEL).collect()}
+    assert found == want and 0 < sum(found.values()) < len(found)
+
+
 def test_scripts():
     assert [fertility.script_of(x) for x in ("", "abc", "Привет", "中文字", "héé", "123", "한국어", "שלום")] == ["none", "latin", "cyrillic", "cjk", "latin", "none", "hangul", "other"]

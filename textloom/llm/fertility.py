@@ -4,9 +4,11 @@ For each document: characters per token, the share of byte-fallback tokens, and
 share of the most that so many tokens could have, averaged over windows of tokens so that length does not
 matter. Words (``[^\\x20\\x09-\\x0D]+``) are encoded one by one by a sentencepiece vocabulary with byte fallback.
 
-The rejection bands belong to a language, or to a script where a language is unknown or rare. They lie a number
-of deviations around the median of all documents of that language that pass the base rules, both taken from
-exact histograms, so a run over the same rows always sets the same bands.
+The rejection bands belong to a language. They lie a number of deviations around the median of all documents of that
+language that pass the base rules, both taken from exact histograms, so a run over the same rows always sets the same
+bands. What few documents say is drawn towards what more of them say: the edges for a document are the weighted mean of
+its language's and its script's, and a script's of its own and those of all documents, with weight n / (n + PRIOR) for
+a group of n documents. So every language has a band of its own, and none is cut off by a rank or a least size.
 """
 
 from __future__ import annotations
@@ -15,18 +17,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textloom.llm.common import map_batches, slices, utf8, written
+from textloom.llm.common import map_batches, release, slices, tables_made, utf8, written
 
 #: Characters that count as symbols. Fixed values.
 SYMBOLS = "#*$%&|<>"
-#: Languages with bands of their own, at most; the others use their script's.
-LANGUAGES = 512
-#: A language or script with fewer documents uses wider groups' bands.
-LEAST_DOCS = 50
+#: Documents that a group must have for its own edges to weigh as much as those of the wider group.
+PRIOR = 25
 #: Steps of a histogram for one unit of a measure.
 STEPS = 200
 CACHE_WORDS = 1 << 17
@@ -175,24 +175,23 @@ def base_failed(n_words, n_repeat_words):
     return (n_words < 50) | (100 * n_repeat_words > 50 * n_words)
 
 
-def bands(measured: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """(level, name) -> the edges of each band: for languages (at most LANGUAGES), scripts, and all documents."""
+def bands(measured: DataFrame) -> DataFrame:
+    """(level, name) -> ``docs`` and the edges of each band as they are: for languages, scripts, and all documents."""
     good = measured.where(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
     groups = F.array(*[F.struct(F.lit(k).alias("level"), v.alias("name")) for k, v in (("lang", F.col("lang")), ("script", F.col("script")), ("all", F.lit("")))])
     values = F.array(*[F.struct(F.lit(m).alias("measure"), F.round(F.col(m) * STEPS).cast("long").alias("bin")) for m in BANDS])
     bins = good.select("lang", "script", F.explode(values).alias("v")).groupBy("lang", "script", "v.measure", "v.bin").agg(F.count("*").alias("n"))
     bins = bins.select(F.explode(groups).alias("g"), "measure", "bin", "n").where("g.name is not null").groupBy("g.level", "g.name", "measure", "bin").agg(F.sum("n").alias("n"))
     bins = written(bins, "fertility-bins")
-    sizes = bins.where(F.col("measure") == next(iter(BANDS))).groupBy("level", "name").agg(F.sum("n").alias("docs")).where(F.col("docs") >= least_docs)
-    sizes = sizes.orderBy(F.col("level") == "lang", F.desc("docs"), "name").limit(LANGUAGES + len(SCRIPTS) + 1)
+    sizes = bins.where(F.col("measure") == next(iter(BANDS))).groupBy("level", "name").agg(F.sum("n").alias("docs"))
     own = Window.partitionBy("level", "name", "measure")
-    bins = bins.join(F.broadcast(sizes), ["level", "name"])
+    bins = bins.join(sizes, ["level", "name"])
     half = lambda order: F.sum("n").over(own.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) * 2 >= F.col("docs")
     middle = bins.withColumn("low", half("bin"))
     middle = middle.withColumn("median", F.min(F.when(F.col("low"), F.col("bin"))).over(own)).withColumn("off", F.abs(F.col("bin") - F.col("median")))
     spread = middle.withColumn("near", F.sum("n").over(own.orderBy("off").rangeBetween(Window.unboundedPreceding, 0)) * 2 >= F.col("docs"))
-    edges = spread.groupBy("level", "name", "measure").agg(F.min("median").alias("median"), F.min(F.when(F.col("near"), F.col("off"))).alias("mad"))
-    wide = edges.groupBy("level", "name")
+    edges = spread.groupBy("level", "name", "docs", "measure").agg(F.min("median").alias("median"), F.min(F.when(F.col("near"), F.col("off"))).alias("mad"))
+    wide = edges.groupBy("level", "name", "docs")
     out = []
     for m, (below, above, least) in BANDS.items():
         own_m = F.col("measure") == m
@@ -204,21 +203,31 @@ def bands(measured: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
 def judge(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
     """One row per input row: its id column, the measures, ``base_failed`` and ``kept``.
 
-    kept is false if base_failed, or if a measure lies outside the band of the document's language, else script,
-    else of all. With too few documents for any band, only the base rules speak. Null or empty texts fail the base
-    rules; repeated rows are judged alike; an empty table gives an empty one."""
+    kept is false if base_failed, or if a measure lies outside the edges for the document's language and script.
+    Without any document that passes the base rules only these speak. Null or empty texts fail them; a long text is
+    measured whole; a null language, or one without such documents, has its script's edges; null ids stay; repeated
+    rows are judged alike; an empty table gives an empty one; other columns are left behind."""
+    spark, standing = df.sparkSession, tables_made()
     rows = written(measures(df, model_path, id_col, text_col, lang_col), "fertility")
-    limits = F.broadcast(written(bands(rows), "fertility-bands"))
+    limits = written(bands(rows), "fertility-bands")  # the planner knows its size; scripts are few, languages need not be
+    release(spark, standing, rows, limits)
     edges = [c for m in BANDS for c in (f"{m}_low", f"{m}_high")]
     joined = rows
     for level, key in (("lang", F.col("lang")), ("script", F.col("script")), ("all", F.substring("script", 1, 0))):
-        side = limits.where(F.col("level") == level).select(F.col("name").alias(f"__{level}"), *[F.col(c).alias(f"__{level}_{c}") for c in edges])
-        joined = joined.join(side, key == F.col(f"__{level}"), "left")
+        side = limits.where(F.col("level") == level).select(F.col("name").alias(f"__{level}"), F.col("docs").alias(f"__{level}_docs"), *[F.col(c).alias(f"__{level}_{c}") for c in edges])
+        joined = joined.join(side if level == "lang" else F.broadcast(side), key == F.col(f"__{level}"), "left")
+
+    def edge(name: str, open_at: float) -> Column:
+        found = F.coalesce(F.col(f"__all_{name}"), F.lit(open_at))
+        for level in ("script", "lang"):
+            weight = F.coalesce(F.col(f"__{level}_docs") / (F.col(f"__{level}_docs") + PRIOR), F.lit(0.0))
+            found = weight * F.coalesce(F.col(f"__{level}_{name}"), F.lit(0.0)) + (1 - weight) * found
+        return found
+
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
     inside = F.lit(True)
     for m in BANDS:
-        low, high = (F.coalesce(*[F.col(f"__{level}_{m}_{side}") for level in ("lang", "script", "all")], F.lit(open_at)) for side, open_at in (("low", -1e9), ("high", 1e9)))
-        inside = inside & F.col(m).between(low, high)
+        inside = inside & F.col(m).between(edge(f"{m}_low", -1e9), edge(f"{m}_high", 1e9))
     return joined.select(
         id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & inside).alias("kept"),
         "vocab_tokens", "chars_per_token", "byte_share", "token_entropy", "script",
