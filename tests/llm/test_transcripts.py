@@ -68,6 +68,16 @@ def test_roles_are_recovered_over_blocks_and_odd_rows(spark):
     assert T.recover_roles(odd, model).count() == 6 and T.recover_roles(odd.limit(0), model).count() == 0
 
 
+def test_large_turns_are_solved_in_parts(spark):
+    rows = [(1, None, t) for _, _, _, t in made(40, 3)] + [(1, 4, t) for _, _, _, t in made(30, 4)] + [(1, k, t) for k, (_, _, _, t) in enumerate(made(8, 6))] + [(None, None, t) for _, _, _, t in made(20, 8)] + [(2, None, "same")] * 60
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    model = model_of(made(30, 1))
+    one, many = (sorted(map(str, T.recover_roles(df, model, block=b).collect())) for b in (100_000, 9))
+    assert one == many and len(one) == len(rows)
+    blocks = T._blocked(df, 9).groupBy(*T.RUN).count().where("conv_id is null or conv_id = 1").agg({"count": "max"}).first()[0]
+    assert blocks < 40
+
+
 def test_markers_and_rendering(spark):
     assert T.marker("User: hi")[0] == 2 and T.marker("### Assistant: yes")[0] == 3 and T.marker("<|im_start|>system|> x")[0] in (0, 1) and T.marker("plain text") == (0, 0)
     assert T.render("user", "Human: hello ") == "<|user|>\nhello\n<|end|>\n"

@@ -202,33 +202,53 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple,
         yield at, held
 
 
+def _blocked(df: DataFrame, block: int) -> DataFrame:
+    """(conv_id, block, part, bucket, turn, h, text), whose first four columns name runs of entries in the order of (turn, h).
+
+    A run holds the entries of ``block`` turns. Where a turn (or what has none) has more entries than that, each turn
+    of its run is a run by itself (``part``), and the entries of the large turn are dealt out by ranges of their texts'
+    hashes (``bucket``); only entries equal in conversation, turn and text are never parted."""
+    number = F.coalesce(F.floor(F.col("turn") / block), F.lit(-1)).cast("long")
+    source = df.select("conv_id", number.alias("block"), "turn", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h"), F.coalesce("text", F.lit("")).alias("text"))
+    large = source.groupBy("conv_id", "block", "turn").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    large = large.groupBy(F.col("conv_id").alias("__conv"), F.col("block").alias("__block")).agg(F.collect_list(F.struct("turn", F.ceil(F.col("n") / block).cast("long").alias("shares"))).alias("__large"))
+    joined = source.join(written(large, "large-turns"), F.col("conv_id").eqNullSafe(F.col("__conv")) & (F.col("block") == F.col("__block")), "left")
+    shares = F.coalesce(F.get(F.filter("__large", lambda x: x["turn"].eqNullSafe(F.col("turn"))), 0)["shares"], F.lit(1))
+    place = F.least(F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * shares), shares - 1).cast("long")
+    split = F.col("__large").isNotNull()
+    return joined.select("conv_id", "block", F.when(split, F.col("turn")).alias("part"), F.when(split, place).otherwise(F.lit(0)).cast("long").alias("bucket"), "turn", "h", "text")
+
+
+RUN = ["conv_id", "block", "part", "bucket"]
+
+
 def recover_roles(df: DataFrame, model: Model, block: int = BLOCK) -> DataFrame:
     """``df(conv_id, turn, text)`` -> one row per row: conv_id, turn, role, n_lines, rendered.
 
     Rows of a conversation are taken by turn (nulls first), equal turns by the hash of their texts. Null texts are
-    empty lines, rows without conv_id are one conversation, repeated rows stay, a given role is not looked at,
-    other columns are left behind, an empty table gives an empty one."""
+    empty lines, long texts are read whole, rows without conv_id are one conversation, repeated rows stay, a given role
+    is not looked at, other columns are left behind, an empty table gives an empty one."""
     conv, turn = (df.schema[c].dataType.simpleString() for c in ("conv_id", "turn"))
     conv_kind, turn_kind = (to_arrow_type(df.schema[c].dataType) for c in ("conv_id", "turn"))
-    key = F.coalesce(F.floor(F.col("turn") / block), F.lit(-1)).cast("long")
-    source = df.select("conv_id", "turn", "text").select("conv_id", key.alias("block"), "turn", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h"), F.coalesce("text", F.lit("")).alias("text"))
+    kinds = [conv_kind, pa.int64(), turn_kind, pa.int64()]
+    source = _blocked(df, block)
 
     def codes_of(rows: list[tuple]) -> np.ndarray:
         return np.array([feature(line, k == 0) for row in rows for k, line in enumerate(lines_of(row[-1]))])
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (c, b), rows in _runs(batches, 2):
-            yield pa.RecordBatch.from_arrays([pa.array([c], conv_kind), pa.array([b], pa.int64()), pa.array([matrix(model, codes_of(rows)).tobytes()])], ["conv_id", "block", "best"])
+        for key, rows in _runs(batches, len(RUN)):
+            yield pa.RecordBatch.from_arrays([*[pa.array([x], t) for x, t in zip(key, kinds, strict=True)], pa.array([matrix(model, codes_of(rows)).tobytes()])], [*RUN, "best"])
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (c,), rows in _runs(batches, 1):
-            ends = borders([np.frombuffer(m).reshape(N + 1, N) for _, m in rows])
-            numbers = [b for b, _ in rows]
-            yield pa.RecordBatch.from_arrays([pa.array([c] * len(rows), conv_kind), pa.array(numbers, pa.int64()), pa.array([None, *ends[:-1]], pa.int32()), pa.array(ends, pa.int32())], ["conv_id", "block", "before", "last"])
+            ends = borders([np.frombuffer(row[-1]).reshape(N + 1, N) for row in rows])
+            columns = [[c] * len(rows), *zip(*[row[:3] for row in rows], strict=True)]
+            yield pa.RecordBatch.from_arrays([*[pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], pa.array([None, *ends[:-1]], pa.int32()), pa.array(ends, pa.int32())], [*RUN, "before", "last"])
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for (c, _, before, last), rows in _runs(batches, 4):
+        for (c, _, _, _, before, last), rows in _runs(batches, len(RUN) + 2):
             path, at = viterbi(model, codes_of(rows), before, last), 0
             for t, _, text in rows:
                 role, count = ROLES[STATES[path[at]][0]], len(lines_of(text))
@@ -244,17 +264,23 @@ def recover_roles(df: DataFrame, model: Model, block: int = BLOCK) -> DataFrame:
         types = (conv_kind, turn_kind, pa.string(), pa.int64(), pa.string())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["conv_id", "turn", "role", "n_lines", "rendered"])
 
-    long = source.groupBy("conv_id").agg(F.min("block").alias("a"), F.max("block").alias("b")).where("a < b").select(F.col("conv_id").alias("__conv"))
+    first = F.struct("block", "part", "bucket")
+    long = source.groupBy("conv_id").agg(F.min(first).alias("a"), F.max(first).alias("b")).where("not a <=> b").select(F.col("conv_id").alias("__conv"))
     long = written(long, "long-conversations")
+    keys = f"conv_id {conv}, block long, part {turn}, bucket long"
+    renamed = {c: f"__{c}" for c in RUN}
     if long.isEmpty():
-        ends = df.sparkSession.createDataFrame([], f"__conv {conv}, __block long, before int, last int")
+        ends = df.sparkSession.createDataFrame([], f"{keys}, before int, last int")
     else:
-        some = source.join(long, F.col("conv_id").eqNullSafe(F.col("__conv")), "left_semi").repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "turn", "h")
-        best = some.select("conv_id", "block", "turn", "h", "text").mapInArrow(weigh, f"conv_id {conv}, block long, best binary")
-        ends = best.repartition("conv_id").sortWithinPartitions("conv_id", "block").mapInArrow(chain, f"conv_id {conv}, block long, before int, last int")
-        ends = ends.withColumnsRenamed({"conv_id": "__conv", "block": "__block"})
-    bound = source.join(ends, F.col("conv_id").eqNullSafe(F.col("__conv")) & (F.col("block") == F.col("__block")), "left")
-    bound = bound.select("conv_id", "block", "before", "last", "turn", "h", "text").repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "turn", "h")
+        some = source.join(long, F.col("conv_id").eqNullSafe(F.col("__conv")), "left_semi").repartition(*RUN).sortWithinPartitions(*RUN, "turn", "h")
+        best = some.select(*RUN, "turn", "h", "text").mapInArrow(weigh, f"{keys}, best binary")
+        ends = best.repartition("conv_id").sortWithinPartitions(*RUN).mapInArrow(chain, f"{keys}, before int, last int")
+    ends = ends.withColumnsRenamed(renamed)
+    same = F.lit(True)
+    for c in RUN:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    bound = source.join(ends, same, "left")
+    bound = bound.select(*RUN, "before", "last", "turn", "h", "text").repartition(*RUN).sortWithinPartitions(*RUN, "turn", "h")
     return bound.mapInArrow(solve, f"conv_id {conv}, turn {turn}, role string, n_lines long, rendered string")
 
 
