@@ -1,7 +1,8 @@
 """A byte-level convolutional network in numpy that scores the quality of whole documents.
 
-A document's bytes are cut in chunks that overlap, so that they cover all of it and no filter misses a place.
-Bytes are embedded, filters slide over each chunk, and every filter keeps its maximum in the chunk. The mean and
+A document's bytes are cut in chunks that overlap, so that they cover all of it. Bytes are embedded, filters slide
+over each chunk by STRIDE bytes, and every filter keeps its maximum in the chunk. With a stride of two every byte lies
+under a filter, but places at odd offsets are none of its own: that halves the work. The mean and
 the maximum over the chunks feed one logistic unit. Only bytes enter: no label, language, source or id.
 
 Training takes a bounded sample of labelled rows on the driver; the network it gives is a few thousand numbers.
@@ -149,24 +150,27 @@ def held_out(id_column: Column) -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", most_rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES):
     """At most ``most_rows`` labelled texts of ``most_bytes`` together, by the hash of their ids, as two lists.
 
-    The ids are chosen among the labels before any text is read, so the texts join to a table of bounded size.
-    A text of over a 64th of the bytes is not trained on (it is scored like any other). Labels that are null or contradict each other for an id are left out."""
+    The ids are chosen among the labels, then by the texts' sizes; no text moves before that, so what is sent to the
+    driver is of bounded size. A text of over a 64th of the bytes is not trained on (it is scored like any other).
+    Labels that are null or contradict each other for an id are left out; equal rows count once."""
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     one = marked.groupBy(id_col).agg(F.min(label_col).alias("label"), F.max(label_col).alias("__most")).where(F.col("label") == F.col("__most"))
     ranked = one.select(id_col, "label", F.xxhash64(id_col).alias("__rank")).orderBy("__rank").limit(most_rows)
-    rows = docs.select(id_col, text_col).where(F.col(text_col).isNotNull()).join(F.broadcast(ranked), id_col)
-    rows = rows.select("__rank", id_col, text_col, "label", F.octet_length(text_col).alias("__size"))
-    rows = rows.where(F.col("__size") <= most_bytes // 64).orderBy("__rank", id_col, text_col).limit(most_rows)
-    fits = rows.withColumn("__upto", F.sum("__size").over(Window.orderBy("__rank", id_col, text_col).rowsBetween(Window.unboundedPreceding, 0)))
-    found = fits.where(F.col("__upto") <= most_bytes).orderBy("__rank", id_col, text_col).select(text_col, "label").collect()
+    texts = docs.select(id_col, text_col).where(F.col(text_col).isNotNull()).withColumn("__hash", F.xxhash64(text_col))
+    sizes = texts.join(F.broadcast(ranked), id_col).select("__rank", id_col, "label", "__hash", F.octet_length(text_col).alias("__size")).distinct()
+    sizes = sizes.where(F.col("__size") <= most_bytes // 64).orderBy("__rank", id_col, "__hash").limit(most_rows)
+    fits = sizes.withColumn("__upto", F.sum("__size").over(Window.orderBy("__rank", id_col, "__hash").rowsBetween(Window.unboundedPreceding, 0)))
+    chosen = fits.where(F.col("__upto") <= most_bytes).drop("__size", "__upto")
+    found = texts.join(F.broadcast(chosen), [id_col, "__hash"]).select("__rank", id_col, "__hash", text_col, "label").distinct()
+    found = found.orderBy("__rank", id_col, "__hash", text_col).select(text_col, "label").collect()
     return [r[0].encode() for r in found], [int(r[1]) for r in found]
 
 
 def classify(df: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """One row per input row: its id column, ``score`` (0 to 1) and ``predicted`` (1 if score >= threshold, else 0).
 
-    A null text is empty and has a score like any other. Repeated rows score alike; other columns are left behind;
-    an empty table gives an empty one."""
+    A null text is empty and has a score like any other; a long one is scored by all its chunks. Repeated rows score
+    alike, null ids stay; other columns are left behind; an empty table gives an empty one."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -178,14 +182,18 @@ def classify(df: DataFrame, net: Network, id_col: str = "doc_id", text_col: str
 
 
 def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, **bounds) -> DataFrame:
-    """Trains on the labelled rows and scores every row; adds ``held_out``."""
+    """Trains on the labelled rows and scores every row; adds ``held_out``. Rows and columns as in ``classify``; without
+    labels the network stays as it was drawn."""
     texts, marks = training_rows(docs, labels, id_col=id_col, text_col=text_col, **bounds)
     scored = classify(docs, train(texts, marks), id_col, text_col, threshold)
     return scored.select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", "predicted")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject, with all columns; texts pass through the map once."""
+    """The rows of ``docs`` that the classifier does not reject, with all columns; texts pass through the map once.
+
+    Null and empty texts and null ids are scored like any other, long texts whole, repeated rows alike; an empty table
+    stays empty; columns of any other name pass through."""
     texts, marks = training_rows(docs, labels, id_col=id_col, text_col=text_col)
     net = train(texts, marks)
 

@@ -1,11 +1,12 @@
-"""Token counts by a two-tier lookup on the map side; pre-tokens are never shuffled.
+"""Token counts by a two-tier lookup on the map side; the texts' pre-tokens are never shuffled.
 
 A pre-token is a longest run of bytes other than space, tab and line ends (``[^\\x20\\x09-\\x0D]+``). The
 vocabularies this serves split texts at white space, and neither their normalisation nor their special strings
 reach over it, so the count of a text is the sum over its pre-tokens.
 
 Tier 1 is a table of frequent pre-tokens with their counts, broadcast once. Each task sums its pre-tokens in a
-Misra-Gries summary of fixed size; the summaries, not the pre-tokens, are added up. Only entries that hold a
+Misra-Gries summary of fixed size; the summaries (at most SUMMARY_ENTRIES words a task), not the pre-tokens, are
+shuffled and added up. Only entries that hold a
 share of at least ``1 / TABLE_ENTRIES`` of all pre-tokens enter the table, so it has at most TABLE_ENTRIES
 entries at any size of the corpus. Tier 2 is a bounded cache in each worker for whatever misses the table; its
 misses are encoded by the library, many at a time.
@@ -135,8 +136,8 @@ _lengths: dict[tuple, Lengths] = {}
 def count_tokens(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
     """One row per input row: its id column, ``n_bytes``, ``n_tokens``, ``over_limit`` (n_tokens > limit).
 
-    Special strings in a text count as the library's default has it; none are added. A null text is empty.
-    Repeated rows stay, extra columns are left behind, an empty table gives an empty one. The tokenizer must
+    Special strings in a text count as the library's default has it; none are added. A null text is empty; a long text
+    is counted whole. Repeated rows and null ids stay, extra columns are left behind, an empty table gives an empty one. The tokenizer must
     split at white space; sentencepiece files that mark white space inside pieces do not qualify."""
     if tokenizer_path.endswith(".model"):
         raise ValueError("pieces of .model files may hold white space; use whole-text encoding for them")
