@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import bytebpe, cnn, decontam, secrets, simhash, simhash_wide
-from textloom.llm.common import table, written
+from textloom.llm.common import discard, release, table, tables_made, written
 from textloom.llm.queries import BYTE_RANKS, PATTERN
 
 
@@ -52,7 +52,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, one after the other. What a stage has written beside its result goes when the result stands."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        standing = tables_made()
+        result = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        release(spark, standing, result)
+        discard(docs)
+        docs = result
     return docs
