@@ -15,6 +15,18 @@ COMMON_MARKS = r".,;:!?()\-\x{2014}\[\]{}<>\"'/\\@#$%^&*+=|~`"
 GARBLED = r"[^\x{4E00}-\x{9FFF}\x{3000}-\x{303F}a-zA-Z0-9" + SPACE + COMMON_MARKS + r"]{15,}"
 UNCOMMON = r"[^\x00-\x7F\x{4E00}-\x{9FFF}\x{3000}-\x{303F}\x{2014}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{FF0C}\x{3002}\x{FF01}\x{FF1F}\x{FF1B}\x{FF1A}\x{FF08}\x{FF09}\x{3010}\x{3011}\x{300A}\x{300B}\x{3001}]"
 FOREIGN = r"[^\x00-\x7F\x{4E00}-\x{9FFF}]"
+#: Marks of text that was read in the wrong encoding: runs, single characters, and whole words. Fixed values.
+MOJIBAKE = r"(?:[鐩綍绔鍏姝鏄鐨瀹鏂杩鎴搴閰瑙涓叧妯鍙鎶姟鍔卞彂]{2,}|[鈥聽銆€]{1,})"
+MOJIBAKE_CHAR = r"[鐩綍绔鍏姝鏄鐨瀹鏂杩鎴搴閰瑙涓叧妯鍙鎶姟鍔卞彂绯荤粺]"
+MOJIBAKE_TOKEN = "|".join((
+    "姗欑毊", "鍏ラ棬", "绮鹃€", "娑电洊", "鏋舵瀯", "鍘熺悊", "閮ㄧ讲", "鏂规", "妗堛€", "娓犻亾", "鎺ュ叆", "绯荤粺", "妯″瀷", "閰嶇疆", "瀹夊叏", "鎴愭湰", "鍙傝€", "鎵嬪唽", "淇℃伅", "鏉ユ簮", "瀹樻柟",
+    "鏂囨。", "浠撳簱", "绀惧尯", "璋冪爺", "鐗堟湰", "閫傜敤", "鍙戝竷", "鏃堕棿", "鐢熸€", "鍏ㄦ櫙", "鍏\ue0ff紬", "鐭ヨ瘑", "缂栫▼", "杈呭姪", "鍑嗙‘", "娆㈣繋", "鍏虫敞", "鍙嶉\ue69c", "棣堜氦", "閰嶅\ue576", "瑙嗛",
+))
+#: A name that scanning confuses, in the contexts that tell it. Fixed value.
+OCR_CONFUSION = r"\b(?:All in Al|Al编程|Al工具|A时代|Al使用|Google Al)\b"
+#: Lines that number a step. Fixed values.
+NUMBERED = r"(?m)^[ \t]*(?:\d+[.、)][ \t]+|第?[一二三四五六七八九十百千\d]+步[骤]?[：:、. \t]|步骤[ \t]*[一二三四五六七八九十百千\d]+[：:、. \t])"
+ENGLISH_STEP = r"(?mi)^[ \t]*step[ \t]*\d+[：:.) \t-]+"
 IMAGE = r"!\[([^\]]*)\]\(([^)]+)\)"
 STEP = r"(\d+[.)\x{3001}][" + SPACE + r"]+|[sS][tT][eE][pP][" + SPACE + r"]*\d+[\x{FF1A}:.)\-" + SPACE + r"]+)"
 FENCE = "`" * 3
@@ -48,8 +60,20 @@ def any_term(c: Column, terms: list[str]) -> Column:
 
 
 def any_pattern(c: Column, patterns: list[str]) -> Column:
-    """Whether one of the patterns is found, in either case."""
-    return F.lower(c).rlike("|".join(f"(?:{p.lower()})" for p in patterns)) if patterns else F.lit(False)
+    """Whether one of the patterns is found, in either case. The patterns stay as they are: lower case would turn ``\\S`` round."""
+    return c.rlike(anycase("|".join(f"(?:{p})" for p in patterns))) if patterns else F.lit(False)
+
+
+def anycase(pattern: str) -> str:
+    """The pattern, found in either case in any alphabet."""
+    return f"(?iu){pattern}"
+
+
+def rewrite(c: Column, pattern: str, change) -> Column:
+    """The text with every match of the pattern replaced by ``change(match)``, a Column of it."""
+    between, found = F.split(c, pattern, -1), F.regexp_extract_all(c, rx(pattern), 0)
+    mixed = F.transform(between, lambda x, i: F.concat(x, F.coalesce(F.when(i < F.size(found), change(F.get(found, i))), F.lit(""))))
+    return F.when(F.size(found) > 0, F.array_join(mixed, "")).otherwise(c)
 
 
 def _quoted(term: str) -> str:

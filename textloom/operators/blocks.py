@@ -34,7 +34,9 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     order = doc.orderBy("i")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     c, s = F.col, F.col("s")
-    flags = lines(docs, id_col, text_col).withColumn("s", T.strip(c("line"))).withColumns({
+    again = c("doc_id").isNull() | F.coalesce(F.lag("i").over(order) == c("i"), F.lit(False))  # else lines of two texts would be one
+    refused = F.when(again, F.raise_error(F.lit("documents need an id each: one is null or stands on two rows"))).otherwise(c("line"))
+    flags = lines(docs, id_col, text_col).withColumn("line", refused).withColumn("s", T.strip(c("line"))).withColumns({
         "fence": s.startswith(T.FENCE), "blank": s == "", "pipe": s.startswith("|"), "quote": s.startswith(">"),
         "heading": c("line").rlike(r"^#{1,6}[" + T.SPACE + "]+."), "image": s.rlike(T.IMAGE) & (F.length(s) < SHORT_IMAGE),
     })
@@ -66,8 +68,8 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def blockify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ord, block_id, type, text, line_start, line_end, protected, level, title), in document order.
 
-    Lines count from 0; a code block without an end reaches one past the last line. Documents of white space have
-    no block."""
+    Lines count from 0; a code block without an end reaches one past the last line. Documents of white space, and
+    null texts, have no block. An id that is null or stands on two rows is an error: its lines can't be told apart."""
     grouped = _marked(docs, id_col, text_col).groupBy("doc_id", "kind", "key").agg(
         F.min("i").alias("line_start"), F.max("i").alias("line_end"), F.max("last").alias("last"), F.max(F.when(F.col("i") == F.col("last"), F.col("open"))).alias("open"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n").alias("raw"),
@@ -104,14 +106,41 @@ def with_heading_path(blocks: DataFrame) -> DataFrame:
 def with_pages(blocks: DataFrame, page_map: DataFrame) -> DataFrame:
     """As-of join: the page of the greatest mapped line at or before a block's first line, and its last.
 
-    ``page_map(doc_id, line, page)``. One union, sorted once per document; no product of blocks and pages."""
-    points = blocks.select("doc_id", F.col("line_start").alias("line"), F.lit(1).alias("side"), "ord").unionByName(blocks.select("doc_id", F.col("line_end").alias("line"), F.lit(2).alias("side"), "ord"))
-    marks = page_map.select("doc_id", "line", F.lit(0).alias("side"), F.lit(None).cast("int").alias("ord"), "page")
-    both = marks.unionByName(points.withColumn("page", F.lit(None).cast(page_map.schema["page"].dataType)))
+    ``page_map(doc_id, line, page)``. Blocks are read once: each becomes two points that carry it, sorted with the marks
+    of its document once; no product of blocks and pages, and no join back."""
+    carried = F.struct(*blocks.columns)
+    sides = F.array(F.struct(F.col("line_start").alias("line"), F.lit(1).alias("side")), F.struct(F.col("line_end").alias("line"), F.lit(2).alias("side")))
+    kind = page_map.schema["page"].dataType
+    points = blocks.select("doc_id", F.explode(sides).alias("p"), carried.alias("block")).select("doc_id", "p.line", "p.side", "block", F.lit(None).cast(kind).alias("page"))
+    marks = page_map.select("doc_id", "line", F.lit(0).alias("side"), F.lit(None).cast(points.schema["block"].dataType).alias("block"), "page")
     w = Window.partitionBy("doc_id").orderBy("line", "side", "page").rowsBetween(Window.unboundedPreceding, 0)
-    seen = both.withColumn("page", F.last("page", ignorenulls=True).over(w)).where("side > 0")
-    pages = seen.groupBy("doc_id", "ord").agg(F.max(F.when(F.col("side") == 1, F.col("page"))).alias("page_start"), F.max(F.when(F.col("side") == 2, F.col("page"))).alias("page_end"))
-    return blocks.join(pages, ["doc_id", "ord"], "left")
+    seen = marks.unionByName(points).withColumn("page", F.last("page", ignorenulls=True).over(w)).where("side > 0")
+    by_block = Window.partitionBy("doc_id", "block.ord")
+    both = seen.withColumn("page_start", F.max(F.when(F.col("side") == 1, F.col("page"))).over(by_block)).where("side = 2")
+    return both.select("block.*", "page_start", F.col("page").alias("page_end"))
+
+
+def locate_pages(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", first: int = 40) -> DataFrame:
+    """(doc_id, line, page): where the first characters of each item stand in its document, for ``with_pages``.
+
+    ``items(doc_id, page, body)``; what has no text, or is not found, marks nothing."""
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__t"))
+    found = items.where(F.coalesce(F.length("body"), F.lit(0)) > 0).join(own, "doc_id").withColumn("__at", F.instr(F.col("__t"), F.substring("body", 1, first)))
+    before = F.substring(F.col("__t"), F.lit(1), F.col("__at") - 1)
+    return found.where("__at > 0").select("doc_id", (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))).cast("int").alias("line"), "page")
+
+
+def heading_list(text: Column) -> Column:
+    """The normalised headings of a Markdown text outside its fences, in order."""
+    plain = F.regexp_replace(text, "(?s)" + T.FENCE + ".*?" + T.FENCE, "")
+    heads = F.filter(F.split(plain, "\n"), lambda x: x.rlike(rf"^[{T.SPACE}]{{0,3}}#{{1,6}}[{T.SPACE}]+[^{T.SPACE}]"))
+    return F.filter(F.transform(heads, heading_text), lambda x: x != "")
+
+
+def heading_text(line: Column) -> Column:
+    """A heading's words in lower case, without marks at either end."""
+    bare = F.regexp_replace(F.regexp_replace(line, rf"^[{T.SPACE}]{{0,3}}#{{1,6}}[{T.SPACE}]+", ""), rf"[{T.SPACE}]*#*[{T.SPACE}]*$", "")
+    return F.lower(T.strip(F.regexp_replace(bare, f"[{T.SPACE}]+", " ")))
 
 
 def image_context(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", before: int = 5, after: int = 3) -> DataFrame:

@@ -15,7 +15,7 @@ CONFIDENCE = {"wrapper": 0.96, "structural": 0.90, "image": 0.0, "protected": 0.
 def labelled(text: Column, pairs: tuple[tuple[str, str], ...], multiline: bool = False) -> Column:
     """The label of the first pattern that is found."""
     flag = "(?m)" if multiline else ""
-    return F.coalesce(*[F.when(F.lower(text).rlike(flag + p.lower()), F.lit(name)) for name, p in pairs], F.lit(None).cast("string"))
+    return F.coalesce(*[F.when(text.rlike(flag + T.anycase(p)), F.lit(name)) for name, p in pairs], F.lit(None).cast("string"))
 
 
 def is_garbled(text: Column) -> Column:
@@ -29,12 +29,53 @@ def has_exact(text: Column, terms: tuple[str, ...]) -> Column:
     return found
 
 
-def wrapper_type(text: Column, rules: RuleSet) -> Column:
-    """Text that sells the source rather than teaching: short calls to action, and lines of the wrapping."""
+#: Types that carry details and are never discarded by a rule. Fixed values.
+DETAIL_TYPES = ("operation_step", "case_step", "tool_instruction", "prompt", "code", "table")
+IMAGE_TYPES = ("image_evidence", "image_operation", "diagram")
+
+
+def cta_signal(text: Column, rules: RuleSet) -> Column:
+    return T.any_term(text, list(rules.cta))
+
+
+def protected_type(text: Column, rules: RuleSet) -> Column:
+    """The kind of detail that a text shows by itself; null for none."""
+    return F.when(text.startswith(T.FENCE), "code").when(text.startswith("|") | F.contains(F.lower(text), F.lit("<table")), "table").otherwise(labelled(text, rules.protected, True))
+
+
+def headings_of(blocks: DataFrame) -> Column:
+    """The titles above a block, joined; empty where blocks carry no ``heading_path``."""
+    return F.coalesce(F.array_join("heading_path", " "), F.lit("")) if "heading_path" in blocks.columns else F.lit("")
+
+
+def wrapper_type(text: Column, rules: RuleSet, heading: Column | None = None) -> Column:
+    """Text that sells the source rather than teaching: short calls to action, sections and lines of the wrapping.
+
+    The source's own title, refund terms and what speaks of a method stay."""
+    heading = F.lit("") if heading is None else heading
+    searchable = F.concat(heading, F.lit("\n"), text)
     compact = F.regexp_replace(text, f"[{T.SPACE}]+", "")
     short = (F.length(compact) <= 80) & T.any_term(compact, [t.replace(" ", "") for t in rules.cta]) & ~has_exact(compact, rules.knowledge)
-    refund = T.any_pattern(text, list(rules.refund))
-    return F.when(refund, F.lit(None).cast("string")).when(short, "marketing_cta").when(has_exact(text, rules.knowledge), F.lit(None).cast("string")).when(T.any_pattern(text, list(rules.wrapper_lines)), "marketing_wrapper")
+    method = F.coalesce(protected_type(text, rules) == "operation_step", F.lit(False)) | has_exact(searchable, rules.business_context + rules.knowledge)
+    for pattern in rules.method_patterns:
+        method = method | searchable.rlike(pattern)
+    title = T.strip(F.regexp_replace(text, "^[# ]+", ""))
+    none = F.lit(None).cast("string")
+    return (
+        F.when(title.isin(*rules.own_titles) if rules.own_titles else F.lit(False), none).when(T.any_pattern(text, list(rules.refund)), none).when(short, "marketing_cta").when(method, none)
+        .when(has_exact(searchable, rules.wrapper_headings), F.when(has_exact(searchable, rules.back_matter), "back_matter").otherwise("marketing_wrapper"))
+        .when(T.any_pattern(text, list(rules.wrapper_lines)), "marketing_wrapper")
+    )
+
+
+def contextual_cta(text: Column, rules: RuleSet, heading: Column | None = None) -> Column:
+    """Whether a call to action is what the text is about: a lesson, a case, or a rule that handles it."""
+    speaks = has_exact(text, rules.knowledge + rules.tutorial)
+    if heading is not None:
+        speaks = speaks | has_exact(heading, rules.business_context + rules.knowledge)
+    for pattern in rules.conditional_cta:
+        speaks = speaks | text.rlike(pattern)
+    return cta_signal(text, rules) & speaks
 
 
 def discard_type(text: Column, rules: RuleSet) -> Column:
@@ -48,14 +89,15 @@ def classify(blocks: DataFrame, rules: RuleSet | None = None) -> DataFrame:
     """Adds status, confidence, reason; sets type and protected. The first matching step of the chain decides."""
     rules = rules or RuleSet()
     t, kind = F.col("text"), F.col("type")
-    guard = F.when(t.startswith(T.FENCE), "code").when(t.startswith("|") | F.contains(F.lower(t), F.lit("<table")), "table").otherwise(labelled(t, rules.protected, True))
-    contextual = T.any_term(t, list(rules.cta)) & has_exact(t, rules.knowledge)
+    heading = headings_of(blocks)
+    guard, contextual = protected_type(t, rules), contextual_cta(t, rules, heading)
     out = lambda status, name, protected, reason, confidence: F.struct(F.lit(status).alias("status"), name.alias("type"), (F.lit(protected) if isinstance(protected, bool) else protected).alias("protected"), reason.alias("reason"), F.lit(CONFIDENCE[confidence]).alias("confidence"))
-    wrapper, drop, evidence = wrapper_type(t, rules), discard_type(t, rules), labelled(t, rules.evidence)
+    wrapper, drop, evidence = wrapper_type(t, rules, heading), discard_type(t, rules), labelled(t, rules.evidence)
     own = F.col("protected")
     none = F.lit(None).cast("string")
     chain = (
-        F.when(wrapper.isNotNull(), out("discard", wrapper, own, F.lit("wrapping"), "wrapper"))
+        F.when(T.strip(t) == "", out("discard", F.lit("empty"), own, F.lit("empty block"), "default"))
+        .when(wrapper.isNotNull(), out("discard", wrapper, own, F.lit("wrapping"), "wrapper"))
         .when(kind.isin("code", "table", "section_heading", "quote"), out("keep", kind, own | kind.isin("code", "table"), none, "structural"))
         .when(kind.isin("image_evidence", "image_operation", "diagram"), out("unclassified", kind, own, none, "image"))
         .when(kind.isin("operation_step", "case_step", "tool_instruction", "prompt"), out("keep", kind, True, none, "protected"))
@@ -91,33 +133,74 @@ def split_promo(blocks: DataFrame, rules: RuleSet | None = None) -> DataFrame:
     return originals.unionByName(derived)
 
 
+def tagged(tags: Column, tag: Column) -> Column:
+    """Risk tags with one more, if it is given and not among them."""
+    own = F.coalesce(tags, F.array().cast("array<string>"))
+    return F.when(tag.isNull() | F.array_contains(own, F.coalesce(tag, F.lit(""))), own).otherwise(F.concat(own, F.array(tag)))
+
+
+def _tags(blocks: DataFrame) -> Column:
+    return F.col("risk_tags") if "risk_tags" in blocks.columns else F.lit(None).cast("array<string>")
+
+
 def apply_rules(blocks: DataFrame, rules: RuleSet | None = None) -> DataFrame:
-    """Applies the first matching rule to blocks that are not protected; adds cleaning_rule_id."""
+    """Applies the first matching rule to blocks that are not protected; adds cleaning_rule_id, cleaning_rule_source and risk_tags.
+
+    A rule protects, sends to review, or discards; its reason and tag stay with the block."""
     rules = rules or RuleSet()
-    action = F.when(~F.col("protected"), rules.first_rule(F.col("text"), "action"))
-    named = blocks.withColumn("__a", action).withColumn("cleaning_rule_id", F.when(~F.col("protected"), rules.first_rule(F.col("text"))))
+    free = ~F.col("protected")
+    of = lambda name: F.when(free, rules.first_rule(F.col("text"), name))
+    named = blocks.withColumns({"__a": of("action"), "__tag": of("risk_tag"), "__why": of("reason"), "cleaning_rule_id": of("rule_id"), "cleaning_rule_source": of("source")})
+    why = F.coalesce(F.nullif("__why", F.lit("")), F.col("reason")) if "reason" in blocks.columns else F.col("__why")
     return named.withColumns({
         "status": F.when(F.col("__a") == "protect", "keep").when(F.col("__a").isNotNull(), F.col("__a")).otherwise(F.col("status")), "type": F.when(F.col("__a") == "discard", "marketing_cta").otherwise(F.col("type")),
-        "protected": F.col("protected") | F.coalesce(F.col("__a") == "protect", F.lit(False)),
-    }).drop("__a")
+        "protected": F.col("protected") | F.coalesce(F.col("__a") == "protect", F.lit(False)), "reason": why, "risk_tags": tagged(_tags(blocks), F.col("__tag")),
+    }).drop("__a", "__tag", "__why")
 
 
-def classify_images(blocks: DataFrame) -> DataFrame:
-    """Decides on image blocks by their text and heading; a discarded block stays so."""
-    is_image = F.col("type").isin("image_evidence", "image_operation", "diagram") & (F.col("status") != "discard")
-    words = F.lower(F.concat_ws(" ", "text", F.array_join("heading_path", " ")))
-    status = F.when(words.rlike("qr|scan"), "discard").when(words.rlike("proof|testimonial|revenue"), "evidence").when(words.rlike("step|click|screen|shot"), "keep").otherwise("review")
-    kind = F.when(words.rlike("qr|scan"), "qr_image").when(words.rlike("proof|testimonial|revenue"), "image_evidence").when(words.rlike("step|click|screen|shot"), "image_operation").otherwise("unknown_review")
-    return blocks.withColumns({"status": F.when(is_image, status).otherwise(F.col("status")), "image_type": F.when(is_image, kind)})
+def tutorial_context(text: Column, rules: RuleSet, heading: Column) -> Column:
+    """Whether words of a call to action stand in a lesson: by the headings, steps, code, terms, or the length of the text."""
+    return (
+        T.any_term(heading, list(rules.tutorial)) | text.rlike(T.NUMBERED) | text.rlike(T.ENGLISH_STEP) | F.contains(text, F.lit(T.FENCE)) | F.contains(text, F.lit("$ "))
+        | has_exact(text, rules.knowledge) | (F.length(text) > 200) | T.any_term(text, list(rules.tutorial + rules.knowledge))
+    )
+
+
+def cta_to_review(blocks: DataFrame, rules: RuleSet | None = None) -> DataFrame:
+    """Sends what calls to act outside of a lesson to review, with the tag possible_cta.
+
+    Headings, protected blocks, what is discarded or evidence already, and what a rule has decided stay as they are."""
+    rules = rules or RuleSet()
+    decided = F.col("cleaning_rule_id").isNotNull() if "cleaning_rule_id" in blocks.columns else F.lit(False)
+    hit = ~F.col("protected") & ~F.col("status").isin("discard", "evidence") & (F.col("type") != "section_heading") & ~decided & cta_signal(F.col("text"), rules) & ~tutorial_context(F.col("text"), rules, headings_of(blocks))
+    why = F.coalesce(F.col("reason"), F.lit("")) if "reason" in blocks.columns else F.lit("")
+    return blocks.withColumn("__hit", hit).withColumns({
+        "status": F.when(F.col("__hit"), "review").otherwise(F.col("status")), "risk_tags": tagged(_tags(blocks), F.when(F.col("__hit"), "possible_cta")),
+        "reason": F.when(F.col("__hit"), F.concat(why, F.lit(" | contains CTA keywords"))).otherwise(F.col("reason") if "reason" in blocks.columns else F.lit(None).cast("string")),
+    }).drop("__hit")
 
 
-#: Categories of details that cleaning must not lose, with their patterns.
+#: Categories of details that cleaning must not lose, with their patterns. Fixed values.
 DETAILS = (
-    ("operation_step", r"(?m)^[ \t]*(\d+[.)][ \t]+|[sS]tep[ \t]*\d+)"), ("parameter", r"[a-zA-Z_][a-zA-Z0-9_-]*[ \t]*=[ \t]*[^, \t\n]+"), ("link", r"https?://[^ \t\n]+|www\.[^ \t\n]+"),
-    ("code", "```|`[^`]+`"), ("table", r"(?m)^[ \t]*\|.+\|[ \t]*$"), ("number_or_metric", r"[0-9]"),
+    ("operation_step", r"(?mi)^\s*(?:\d+[.)、]\s+|step\s*\d+[：:.)\-\s]+|第[\x{4E00}-\x{9FFF}\d]+(?:步|步骤)[：:、.\s]|步骤\s*[\x{4E00}-\x{9FFF}\d]+[：:、.\s])"),
+    ("tool_or_platform", r"(?i)工具|平台|账号|后台|网站|插件|APP|API|GitHub|YouTube|Obsidian|MinerU|\b(?:tool|platform|account|dashboard|plugin|workflow)\b"),
+    ("parameter", r"(?i)参数|字段|配置|阈值|限制条件|\b(?:threshold|retry_count|failure_reason|temperature|top_p|model|seed)\b|\b[a-zA-Z_][\w-]*\s*=\s*[^,\s，。]+"),
+    ("link", r"(?i)https?://\S+|www\.\S+"),
+    ("prompt", r"(?i)提示词|prompt|指令"),
+    ("code", r"(?i)```|`[^`]+`|\b(?:def|class|const|let|function|import)\b"),
+    ("table", r"(?im)^\s*\|.+\|\s*$|<table\b"),
+    ("number_or_metric", r"\d+(?:\.\d+)?\s*(?:%|GB|MB|KB|ms|s|元|次|个|天)?"),
 )
+#: Types that are a detail by themselves; categories that must not be discarded. Fixed values.
+DETAIL_OF_TYPE = {"operation_step": "operation_step", "tool_instruction": "tool_or_platform", "prompt": "prompt", "code": "code", "table": "table"}
+STRICT_DETAILS = ("operation_step", "tool_or_platform", "parameter", "link", "prompt", "code", "table")
+
 
+def detail_categories(text: Column, kind: Column | None = None) -> Column:
+    """The categories of details in a text, and that of its block's type, in the order of DETAILS."""
+    def has(name: str, pattern: str) -> Column:
+        found = text.rlike(pattern)
+        kinds = [k for k, v in DETAIL_OF_TYPE.items() if v == name]
+        return found | F.coalesce(kind.isin(*kinds), F.lit(False)) if kind is not None and kinds else found
 
-def detail_categories(text: Column) -> Column:
-    """The categories of details in a text, in the order of DETAILS."""
-    return F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(name)) for name, p in DETAILS]))
+    return F.array_compact(F.array(*[F.when(has(name, p), F.lit(name)) for name, p in DETAILS]))

@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from textloom.functions import text as T
+from textloom.sources import formats as Z
 
 #: Elements whose content is no text of the page, for the quick profile and for the parser. Fixed values.
 NOISY = ("script", "style", "nav", "footer", "header", "aside", "figure", "figcaption", "noscript", "template")
 SKIPPED = ("script", "style", "svg", "noscript", "nav", "header", "footer")
 BLOCKS = ("p", "div", "section", "article", "main", "ul", "ol", "table", "tr", "blockquote", "br", "li", "h1", "h2", "h3", "h4", "h5", "h6")
-LANGUAGES = {"py": "python", "js": "javascript", "ts": "typescript", "sh": "bash", "yml": "yaml", "yaml": "yaml", "sql": "sql", "go": "go", "rs": "rust", "java": "java"}
 #: Characters of a packed subtitle paragraph. Fixed value.
 SUBTITLE_CHARS = 500
 
@@ -67,8 +67,8 @@ class _Page(HTMLParser):
             self.prefix = "#" * int(tag[1]) + " "
         elif tag == "a":
             self.link = (named.get("href") or "", len(self.words))
-        elif tag == "img":
-            self.words.append(f"![{named.get('alt') or ''}]({named.get('src') or ''})")
+        elif tag == "img" and named.get("src"):
+            self.words.append(f"![{named.get('alt') or ''}]({named['src']})")
 
     def handle_endtag(self, tag):
         if tag in SKIPPED:
@@ -79,7 +79,7 @@ class _Page(HTMLParser):
         if tag == "a" and self.link:
             target, at = self.link
             text = " ".join("".join(self.words[at:]).split())
-            self.words[at:] = [f"[{text}]({target})" if text and target else text]
+            self.words[at:] = [f"[{text or target}]({target})" if target else text]
             self.link = None
         if tag in BLOCKS:
             self.flush()
@@ -90,10 +90,15 @@ class _Page(HTMLParser):
 
 
 def page_markdown(html: str | None) -> str:
-    """A page as Markdown: one line for each block, consecutive equal lines once, blank lines between."""
+    """A page as Markdown: one line for each block, consecutive equal lines once, blank lines between.
+
+    A declaration that the parser does not take ends the page for it; its text is what the tags leave."""
     page = _Page()
-    page.feed(html or "")
-    page.close()
+    try:
+        page.feed(html or "")
+        page.close()
+    except AssertionError:
+        return re.sub(r"<[^>]+>", "", html or "").strip()
     page.flush()
     kept = [line for i, line in enumerate(page.lines) if i == 0 or line != page.lines[i - 1]]
     return "\n\n".join(kept)
@@ -108,14 +113,57 @@ def _arrow(convert):
     return run
 
 
-html_to_markdown = _arrow(lambda x: page_markdown(x))
+def dispatched(html: str | None, rich=None) -> str:
+    """A page by the first converter that gives a text: one of the caller's, the parser, the text between the tags."""
+    found = rich(html or "") if rich is not None else ""
+    return found if found.strip() else page_markdown(html) or re.sub(r"<[^>]+>", "", html or "").strip()
 
 
-def pretty_json(text: str | None) -> str:
-    """JSON, indented, in a fence; what does not parse stays as it is, stripped."""
+html_to_markdown = _arrow(lambda x: dispatched(x))
+
+
+def standalone_svg(svg: str | None) -> str:
+    """An inline drawing as a file of its own: its size from its view box, its aspect kept, its namespace named."""
+    text = svg or ""
+    root = re.search(r"<svg\b([^>]*)>", text, re.I | re.S)
+    if not root:
+        return text
+    attributes = root[1].rstrip("/ ")
+    value = lambda name: (re.search(rf"""\b{name}\s*=\s*(?:"([^"]*)"|'([^']*)')""", attributes, re.I) or [None] * 3)
+    box = value("viewBox")
+    numbers = re.split(r"[\s,]+", ((box[1] or box[2] or "") if box[0] else "").strip())
     try:
-        return "```json\n" + json.dumps(json.loads(text or ""), ensure_ascii=False, indent=2) + "\n```"
+        sizes = [float(x) for x in numbers] if len(numbers) == 4 else []
     except ValueError:
+        sizes = []
+    attributes = re.sub(r"\bviewbox(?=\s*=)", "viewBox", attributes, flags=re.I)
+    if len(sizes) == 4 and sizes[2] > 0 and sizes[3] > 0:
+        for name, size in (("width", sizes[2]), ("height", sizes[3])):
+            own = value(name)
+            given = ((own[1] or own[2] or "") if own[0] else "").strip()
+            if not given or given.endswith("%"):
+                attributes = re.sub(rf"""\s*\b{name}\s*=\s*(?:"[^"]*"|'[^']*')""", "", attributes, flags=re.I) + f' {name}="{int(size) if size.is_integer() else size}"'
+    if not value("preserveAspectRatio")[0]:
+        attributes += ' preserveAspectRatio="xMidYMid meet"'
+    if "xmlns=" not in attributes:
+        attributes = ' xmlns="http://www.w3.org/2000/svg"' + attributes
+    return text[: root.start()] + f"<svg{attributes}{'/' if root[1].rstrip().endswith('/') else ''}>" + text[root.end() :]
+
+
+svg_to_file = _arrow(standalone_svg)
+
+
+def fenced(body: str, language: str) -> str:
+    """A fence that the body does not hold, around it."""
+    fence = "`" * max([3, *[len(x) + 1 for x in re.findall("`{3,}", body)]])
+    return f"{fence}{language}\n{body}\n{fence}"
+
+
+def pretty_json(text: str | None) -> str:
+    """JSON, indented, in a fence; what does not parse, or is nested too deeply to, stays as it is, stripped."""
+    try:
+        return fenced(json.dumps(json.loads(text or ""), ensure_ascii=False, indent=2), "json")
+    except (ValueError, RecursionError):
         return (text or "").strip()
 
 
@@ -123,8 +171,16 @@ json_to_markdown = _arrow(pretty_json)
 
 
 def delimited(text: str | None, delimiter: str = ",") -> str:
-    """Rows as a Markdown table: cells trimmed, blank rows dropped, short rows padded, pipes escaped."""
-    rows = [[c.strip().replace("|", "\\|") for c in r] for r in csv.reader(io.StringIO(text or ""), delimiter=delimiter)]
+    """Rows as a Markdown table: cells trimmed, blank rows dropped, short rows padded, pipes escaped.
+
+    Any line end ends a line, cells may be of any length; text that is no table by its quotes is one cell a line."""
+    csv.field_size_limit(1 << 31)
+    source = (text or "").replace("\r\n", "\n").replace("\r", "\n").replace("\0", "")
+    try:
+        found = list(csv.reader(io.StringIO(source, newline=""), delimiter=delimiter))
+    except csv.Error:
+        found = [[line] for line in source.split("\n")]
+    rows = [[c.strip().replace("|", "\\|") for c in r] for r in found]
     rows = [r for r in rows if any(r)]
     if not rows:
         return ""
@@ -136,12 +192,16 @@ def delimited(text: str | None, delimiter: str = ",") -> str:
 csv_to_markdown = _arrow(delimited)
 
 
-def table_to_markdown(df: DataFrame, columns: list[str], order: str) -> DataFrame:
-    """A whole small table as one Markdown table, its rows in order."""
-    row = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.replace(F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")), F.lit("|"), F.lit("\\|")) for c in columns]), F.lit(" |"))
-    head = "| " + " | ".join(columns) + " |\n| " + " | ".join(["---"] * len(columns)) + " |\n"
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), row.alias("r"))))
-    return df.agg(F.concat(F.lit(head), F.array_join(F.transform(rows, lambda x: x["r"]), "\n")).alias("markdown"))
+def table_lines(df: DataFrame, columns: list[str], order: str) -> DataFrame:
+    """(part, place, line) of a whole table as one Markdown table: the head, its rule, and the rows in order.
+
+    Rows stay rows, ordered by ranges, so a table of any size can be written out part by part: the line of a row is its
+    own, and no task holds them all."""
+    cell = lambda c: F.replace(F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")), F.lit("|"), F.lit("\\|"))
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, columns)), F.lit(" |"))
+    head = [(0, 0, "| " + " | ".join(columns) + " |"), (0, 1, "| " + " | ".join(["---"] * len(columns)) + " |")]
+    body = df.select(F.lit(1).alias("part"), F.col(order).cast("long").alias("place"), row.alias("line"))
+    return df.sparkSession.createDataFrame(head, "part int, place long, line string").unionByName(body).orderBy("part", "place")
 
 
 def code_to_markdown(code: Column, language: str = "") -> Column:
@@ -177,24 +237,51 @@ def subtitle(text: str | None) -> str:
 subtitle_to_markdown = _arrow(subtitle)
 
 
-def notebook(text: str | None) -> str:
-    """Cells of a notebook: Markdown as it is, code in fences of the kernel's language, outputs below their cell."""
+def _named(value: dict, key: str) -> dict:
+    own = value.get(key)
+    return own if isinstance(own, dict) else {}
+
+
+def read_notebook(text: str | None) -> dict | None:
+    """The object of a notebook; none if the text is none."""
     try:
         book = json.loads(text or "")
-    except ValueError:
+    except (ValueError, RecursionError):
+        return None
+    return book if isinstance(book, dict) else None
+
+
+def cells_of(book: dict) -> list[dict]:
+    cells = book.get("cells")
+    return [c for c in cells if isinstance(c, dict)] if isinstance(cells, list) else []
+
+
+def notebook_stats(files: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, cells, markdown_cells, code_cells) of notebooks, by their JSON; zeros for what is none."""
+    kinds = F.from_json(F.col(text_col), "cells array<struct<cell_type:string>>", {"mode": "PERMISSIVE"})["cells"]
+    own = F.coalesce(kinds, F.array().cast("array<struct<cell_type:string>>"))
+    count = lambda kind: F.size(F.filter(own, lambda c: c["cell_type"] == kind)).cast("long")
+    return files.select(id_col, F.size(own).cast("long").alias("cells"), count("markdown").alias("markdown_cells"), count("code").alias("code_cells"))
+
+
+def notebook(text: str | None) -> str:
+    """Cells of a notebook: Markdown as it is, code in fences of the kernel's language, outputs below their cell."""
+    book = read_notebook(text)
+    if book is None:
         return (text or "").strip()
-    joined = lambda x: "".join(x) if isinstance(x, list) else str(x or "")
-    meta = book.get("metadata", {})
-    language = meta.get("kernelspec", {}).get("language") or meta.get("language_info", {}).get("name") or "python"
+    joined = lambda x: "".join(map(str, x)) if isinstance(x, list) else str(x or "")
+    meta = _named(book, "metadata")
+    language = _named(meta, "kernelspec").get("language") or _named(meta, "language_info").get("name") or "python"
     parts = []
-    for i, cell in enumerate(book.get("cells", []), 1):
+    for i, cell in enumerate(cells_of(book), 1):
         source = joined(cell.get("source")).strip()
         if cell.get("cell_type") == "markdown" and source:
             parts.append(source)
         elif cell.get("cell_type") == "code":
             if source:
                 parts.append(f"```{language}\n{source}\n```")
-            shown = [joined(o.get("text") or o.get("data", {}).get("text/plain") or o.get("traceback")).strip() for o in cell.get("outputs", [])]
+            outputs = [o for o in cell.get("outputs") or [] if isinstance(o, dict)]
+            shown = [joined(o.get("text") or _named(o, "data").get("text/plain") or o.get("traceback")).strip() for o in outputs]
             shown = [x for x in shown if x]
             if shown:
                 parts.append(f"## Cell {i} Output\n\n```\n" + "\n".join(shown) + "\n```")
@@ -261,6 +348,31 @@ def pptx(data: bytes) -> str:
     return "\n\n".join(parts)
 
 
+def office_images(data: bytes) -> list[str]:
+    """Images that the parts of an office file embed, in the order of first use; linked ones from outside are left out."""
+    archive = zipfile.ZipFile(io.BytesIO(data))
+    names, found = set(archive.namelist()), {}
+    parts = [n for n in archive.namelist() if re.fullmatch(r"(word/document|ppt/slides/slide\d+|xl/drawings/drawing\d+)\.xml", n)]
+    for part in sorted(parts, key=lambda n: [int(x) if x.isdigit() else x for x in re.split(r"(\d+)", n)]):
+        folder, _, name = part.rpartition("/")
+        if f"{folder}/_rels/{name}.rels" not in names:
+            continue
+        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(archive.read(f"{folder}/_rels/{name}.rels")) if r.get("TargetMode") != "External"}
+        for e in ElementTree.fromstring(archive.read(part)).iter():
+            target = targets.get(_attribute(e, "embed") or "") if _local(e) == "blip" else None
+            if target and (own := normpath(join(folder, target)).lstrip("/")) in names:
+                found.setdefault(own, None)
+    return list(found)
+
+
+def slide_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "markdown") -> DataFrame:
+    """(id, page_idx, text): the slides of a converted deck, each from its heading to the next."""
+    parts = F.split(F.col(text_col), r"(?m)(?=^# Slide[ \t]+\d+(?::[^\n]*)?$)", -1)
+    rows = docs.select(F.col(id_col), F.explode(parts).alias("part"))
+    no = F.regexp_extract("part", r"^# Slide[ \t]+(\d+)(?::[^\n]*)?(?:\n|$)", 1)
+    return rows.where(no != "").select(id_col, (no.cast("int") - 1).alias("page_idx"), T.strip(F.col("part")).alias("text"))
+
+
 def xlsx(data: bytes) -> str:
     """Sheets by number, each a heading and a table."""
     archive, parts = zipfile.ZipFile(io.BytesIO(data)), []
@@ -301,23 +413,25 @@ def convert_files(files: DataFrame) -> DataFrame:
     by_text = {"html": page_markdown, "htm": page_markdown, "json": pretty_json, "csv": delimited, "tsv": lambda x: delimited(x, "\t"), "srt": subtitle, "vtt": subtitle, "ipynb": notebook}
 
     def one(path: str, data: bytes) -> tuple[str | None, str | None]:
-        ext = path.rpartition(".")[2].lower()
         try:
+            ext = (path or "").rpartition(".")[2].lower()
+            if data is None:
+                return None, "no content"
+            data = bytes(data)
             if ext in CONTAINERS:
                 return CONTAINERS[ext](data), None
             text = decoded(data)
             if ext in by_text:
                 return by_text[ext](text), None
-            if ext in LANGUAGES:
-                fence = "`" * max(3, *[len(x) + 1 for x in re.findall("`{3,}", text)], 3)
-                return f"{fence}{LANGUAGES[ext]}\n{text.rstrip(chr(10))}\n{fence}", None
+            if Z.FORMAT_OF.get(ext) == "code":
+                return fenced(text.rstrip("\n"), Z.LANGUAGES.get(ext, ext)), None
             return text, None
         except Exception as error:  # noqa: BLE001  any damage to a container
             return None, f"{type(error).__name__}: {error}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [one(p, bytes(c)) for p, c in zip(batch["path"], batch["content"], strict=True)]
+            rows = [one(p, c) for p, c in zip(batch["path"], batch["content"], strict=True)]
             yield pd.DataFrame({"path": batch["path"], "markdown": [m for m, _ in rows], "error": [e for _, e in rows]})
 
     return files.select("path", "content").mapInPandas(run, "path string, markdown string, error string")
@@ -331,7 +445,7 @@ def conversation_markdown(conversations: DataFrame) -> DataFrame:
 
 def close_fence(text: Column) -> Column:
     """Adds the fence that a text leaves open."""
-    toggles = F.size(F.filter(F.split(text, "\n"), lambda x: F.ltrim(x).startswith(T.FENCE)))
+    toggles = F.size(F.filter(F.split(text, "\n"), lambda x: T.strip(x).startswith(T.FENCE)))
     return F.when(toggles % 2 == 1, F.concat(F.regexp_replace(text, r"\n+$", ""), F.lit("\n" + T.FENCE))).otherwise(text)
 
 

@@ -14,17 +14,19 @@ from textloom.operators import classify as C
 from textloom.operators import convert as V
 from textloom.operators import diagnose as D
 from textloom.operators import feedback as K
+from textloom.operators import images as I
 from textloom.operators import pack as P
 from textloom.operators import quality as Q
 from textloom.operators import render as R
 from textloom.operators import titles as N
 from textloom.plans import fixtures as X
-from textloom.plans.oracles import LINK, PARAMETER
 from textloom.plans.prepare import prepare, skip_known
 from textloom.rules import RuleSet
 from textloom.sources import tables as S
 from textloom.streaming.stream import event_counts
 
+#: What must not get lost of a text: addresses, and settings of any name.
+LINK, PARAMETER = r"https?://[^ \t\n]+", r"[a-zA-Z_][a-zA-Z0-9_-]*=[^, \t\n]+"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -58,10 +60,8 @@ def text_quality(spark, sf):
 def text_quality_by_lang(spark, sf):
     d = docs(spark, sf)
     t = F.coalesce("text", F.lit(""))
-    rows = d.select("lang", F.length(t).alias("n"), T.count(t, T.ALNUM).alias("a"), T.matched_chars(t, T.GARBLED).alias("g"), T.count(t, T.UNCOMMON).alias("u"), T.count(t, T.CJK).alias("c"), T.count(t, r"[?\x{FFFD}]").alias("r"))
-    n = F.nullif("n", F.lit(0))
-    bad = F.round(F.greatest(F.col("g") / n, F.col("u") / n, F.when((F.col("c") + F.col("a")) / n < D.LOW_SIGNAL, F.col("r") / n).otherwise(0.0)), 4) > 0.03
-    return rows.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("n").alias("chars"), F.round(F.sum("a") / F.sum("n"), 4).alias("alnum_ratio"), F.count_if(bad).alias("unreadable_docs"))
+    measured = D.text_quality(d).join(d.select("doc_id", "lang", T.count(t, T.ALNUM).alias("a")), "doc_id")
+    return measured.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("total_chars").alias("chars"), F.round(F.sum("a") / F.sum("total_chars"), 4).alias("alnum_ratio"), F.count_if(F.col("unreadable_text_ratio") > 0.03).alias("unreadable_docs"))
 
 
 @query
@@ -81,7 +81,8 @@ def text_profile(spark, sf):
 
 @query
 def doc_type(spark, sf):
-    return D.document_type(S.table(spark, sf, "pages"), "page_id", "html")
+    found = D.document_type(S.table(spark, sf, "pages"), "page_id", "html", detected_format=F.lit("html"))
+    return found.withColumn("reasons", F.array_join("reasons", "; "))
 
 
 @query
@@ -266,13 +267,14 @@ def conversation_turn_gaps(spark, sf):
 
 @query
 def csv_to_markdown(spark, sf):
-    return V.table_to_markdown(S.table(spark, sf, "nation"), ["n_nationkey", "n_name", "n_regionkey"], "n_nationkey")
+    return V.table_lines(S.table(spark, sf, "part"), ["p_partkey", "p_name", "p_brand", "p_size"], "p_partkey")
 
 
 @query
 def delimited_files(spark, sf):
-    rows = docs(spark, sf).select("doc_id", V.csv_to_markdown("text").alias("markdown"))
-    return rows.select("doc_id", F.length("markdown").alias("chars"))
+    cells = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit('"'), F.lit("|")), F.lit(" "), F.lit(", "))
+    rows = docs(spark, sf).select("doc_id", V.csv_to_markdown(cells).alias("markdown"))
+    return rows.select("doc_id", F.length("markdown").cast("long").alias("chars"), _md5())
 
 
 @query
@@ -295,8 +297,8 @@ def code_fence(spark, sf):
 
 @query
 def fence_close(spark, sf):
-    cut = F.substring("text", 1, 700)
-    return md(spark, sf).select("doc_id", V.close_fence(cut).alias("markdown")).select("doc_id", F.length("markdown").cast("long").alias("chars"), _md5())
+    left_open = F.when(F.col("doc_id") % 3 == 0, F.concat(F.col("text"), F.lit("\n```\nleft open"))).otherwise(F.col("text"))
+    return md(spark, sf).select("doc_id", V.close_fence(left_open).alias("markdown")).select("doc_id", F.length("markdown").cast("long").alias("chars"), _md5())
 
 
 @query
@@ -333,8 +335,9 @@ def promo_split(spark, sf):
 
 @query
 def classify_images(spark, sf):
-    rows = C.classify_images(B.with_heading_path(C.classify(blocks(spark, sf))))
-    return rows.where("image_type is not null").groupBy("status", "image_type").agg(F.count("*").alias("blocks"))
+    source = md(spark, sf)
+    rows = I.classify_images(B.with_heading_path(C.classify(B.blockify(source))), I.contexts(source))
+    return rows.where("image_type is not null").select("doc_id", "block_id", "status", "image_type")
 
 
 @query
@@ -350,7 +353,8 @@ def patch_validate(spark, sf):
 
 @query
 def patch_apply(spark, sf):
-    return K.apply_patch(cleaned(spark, sf), _patches(spark, sf)).select("doc_id", "block_id", "status", "patched")
+    out = K.apply_patch(cleaned(spark, sf), _patches(spark, sf))
+    return out.select("doc_id", "block_id", "status", "patched", F.round("confidence", 4).alias("confidence"), F.array_join("risk_tags", ",").alias("tags"))
 
 
 @query
@@ -381,8 +385,8 @@ def promotion_summary(spark, sf):
 
 @query
 def keyword_dedupe(spark, sf):
-    words = docs(spark, sf).selectExpr("doc_id", "split(text, ' ')[0] as word")
-    return K.dedupe(words, "word", "doc_id")
+    terms = docs(spark, sf).select("doc_id", F.explode(F.array_distinct(F.split("text", "[ \n]"))).alias("word"))
+    return K.dedupe(terms, "word", "doc_id", "word").select("doc_id", "word")
 
 
 @query
@@ -409,7 +413,7 @@ def render_evidence(spark, sf):
 
 @query
 def audit_topk(spark, sf):
-    return R.audit(cleaned(spark, sf)).select("doc_id", "status", "n", "block_id")
+    return R.audit(cleaned(spark, sf), {"discard": 5, "evidence": 2, "review": 3, "risky": 4}).select("doc_id", "kind", "n", "block_id")
 
 
 @query
@@ -428,14 +432,14 @@ def chunks_by_page(spark, sf):
     source = md(spark, sf)
     page_map = source.select("doc_id", F.explode(F.sequence(F.lit(0), F.size(F.split("text", "\n")) - 1, F.lit(7))).alias("line")).withColumn("page", (F.floor(F.col("line") / 7) + 1).cast("int"))
     b = B.with_pages(C.apply_rules(C.classify(B.blockify(source))), page_map)
-    return P.chunks_by_page(b).groupBy("doc_id", "page").agg(F.count("*").alias("blocks"), F.max("no").cast("long").alias("chunks"))
+    return P.chunks_by_page(b).groupBy("doc_id", "no").agg(F.count("*").alias("blocks"), F.min("page").alias("page_start"), F.max("page_end").alias("page_end"))
 
 
 @query
 def structure_loss(spark, sf):
     source = md(spark, sf)
-    half = source.withColumn("text", F.expr("substring(text, 1, cast(length(text) / 2 as int))"))
-    return Q.structure_loss(B.structure_counts(source), B.structure_counts(half))
+    lossy = source.withColumn("text", F.regexp_replace(F.replace("text", F.lit("| --- |"), F.lit("")), r"(?m)^### |\.png", ""))
+    return Q.structure_loss(B.structure_counts(source), B.structure_counts(lossy))
 
 
 @query

@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: extension -> (format, source type, cost). Fixed values of the data model.
-FORMATS = {
-    "md": ("markdown", "markdown_note", "light"), "markdown": ("markdown", "markdown_note", "light"), "txt": ("text", "generic_block", "light"),
-    "html": ("html", "generic_block", "light"), "htm": ("html", "generic_block", "light"), "json": ("json", "generic_block", "light"),
-    "csv": ("delimited", "generic_block", "light"), "tsv": ("delimited", "generic_block", "light"), "srt": ("subtitle", "subtitle_transcript", "light"),
-    "vtt": ("subtitle", "subtitle_transcript", "light"), "py": ("code", "generic_block", "light"), "js": ("code", "generic_block", "light"),
-    "ipynb": ("notebook", "generic_block", "light"), "pdf": ("pdf", "pdf_like", "heavy"), "docx": ("docx", "pdf_like", "heavy"),
-    "pptx": ("pptx", "pdf_like", "heavy"), "xlsx": ("xlsx", "generic_block", "heavy"), "epub": ("ebook", "pdf_like", "heavy"),
-}
-IGNORED = (".git", "node_modules", "__pycache__", ".venv", "dist", "build")
+from textloom.sources import formats as Z
+
+#: Names of folders that no scan enters, in lower case. Fixed values.
+IGNORED = (
+    ".git", ".hg", ".svn", ".cache", ".pytest_cache", ".mypy_cache", ".ruff_cache", ".tox", ".venv", "venv", "env", "__pycache__", "node_modules", "dist", "build", "coverage", ".next", ".nuxt",
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,24 +18,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, content, size) of every file below a directory, but for ignored folders."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return files.where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, IGNORED)))).select("path", "content", F.col("length").alias("size"))
+    """(path, content, size, place) of every file below a directory, but for ignored folders.
 
-
-def extension(path: Column) -> Column:
-    return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
+    ``place`` orders files as a walk does that takes the names of each folder without regard to case."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    folders = F.split(F.lower(F.regexp_replace("path", "/[^/]*$", "")), "/")
+    below = files.where(~F.arrays_overlap(folders, F.array(*map(F.lit, IGNORED))))
+    return below.select("path", "content", F.col("length").alias("size"), F.split(F.lower("path"), "/").alias("place"))
 
 
 def inventory(paths: DataFrame) -> DataFrame:
-    """(path, size) -> format, source type, cost, and whether to process: unknown or empty files are skipped."""
-    ext = extension(F.col("path"))
-    lookup = F.create_map(*[x for k, v in FORMATS.items() for x in (F.lit(k), F.struct(F.lit(v[0]).alias("format"), F.lit(v[1]).alias("source_type"), F.lit(v[2]).alias("weight")))])
-    known = F.try_element_at(lookup, ext)
-    skip = F.when(known.isNull(), "unsupported_extension").when(F.col("size") == 0, "empty_file")
+    """(path, size) -> format, source type, family, weight, and whether a batch takes the file or why not."""
+    ext = Z.extension(F.col("path"))
+    reason = Z.skip_reason(ext)
     return paths.select(
-        "path", ext.alias("ext"), F.coalesce(known["format"], F.lit("unknown")).alias("format"), F.coalesce(known["source_type"], F.lit("generic_block")).alias("source_type"),
-        F.coalesce(known["weight"], F.lit("light")).alias("weight"), "size", F.when(skip.isNull(), "process").otherwise("skip").alias("action"), skip.alias("skip_reason"),
+        "path", ext.alias("ext"), Z.format_of(ext).alias("format"), Z.source_type_of(ext).alias("source_type"), Z.source_family(ext).alias("family"),
+        F.when(Z.format_of(ext).isin(*Z.HEAVY), "heavy").otherwise("light").alias("weight"), "size", F.when(reason.isNull(), "process").otherwise("skip").alias("action"), reason.alias("skip_reason"),
+    )
+
+
+def batch_totals(inventory: DataFrame, results: DataFrame) -> DataFrame:
+    """One row: what a batch found, took and left out, and how its files ended. ``results(path, ok, errors, cached)``."""
+    joined = inventory.join(results, "path", "left")
+    taken, good = F.col("action") == "process", F.coalesce(F.col("ok") & (F.col("errors") == 0), F.lit(False))
+    count = lambda c, name: F.count_if(c).alias(name)
+    return joined.agg(
+        F.count("*").alias("discovered"), count(taken, "total"), count(~taken, "skipped_unsupported"), count(taken & good, "succeeded"), count(taken & good & F.coalesce("cached", F.lit(False)), "skipped"),
+        count(taken & F.col("ok").isNotNull() & ~good, "failed"), count(taken & (F.col("weight") == "heavy"), "heavy"), count(taken & (F.col("weight") == "light"), "light"),
     )
 
 

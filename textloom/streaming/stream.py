@@ -22,10 +22,12 @@ def first_copies(stream: DataFrame, time_col: str, within: str = "1 hour") -> Da
 
 
 def prepare_stream(stream: DataFrame, out: str, checkpoint: str, rules: RuleSet | None = None) -> StreamingQuery:
-    """Appends gates and chunks of each micro-batch below ``out``; a batch that runs again replaces its own files."""
+    """Appends gates and chunks of each micro-batch below ``out``; a batch that runs again replaces its own files.
+
+    The blocks of a batch are written once, and both are made of them."""
 
     def batch(df: DataFrame, number: int) -> None:
-        done = prepare(df, rules)
+        done = prepare(df, rules, path=f"{out}/work/batch={number}")
         for name, rows in (("gates", done.gates), ("chunks", done.chunks)):
             rows.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
 
