@@ -8,8 +8,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from textloom.plans.oracles_more import ORACLES
+from textloom.plans.oracles_extra import ORACLES
 from textloom.plans.queries import QUERIES
+from textloom.plans.queries_more import MORE
+
+assert set(MORE) <= set(QUERIES)
 
 SF = "/root/testdata/sf0.001"
 

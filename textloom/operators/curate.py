@@ -103,7 +103,7 @@ def _without_title(body: Column, title: Column) -> Column:
     goes_on = lambda x: (x == "") | F.substring(x, 1, 1).isin(*GOES_ON)
     once = F.regexp_replace(body, pattern, F.lit(""))
     twice = F.regexp_replace(once, pattern, F.lit(""))
-    return F.when(~body.rlike(pattern), body).when(once.rlike(pattern), F.when(goes_on(twice), once).otherwise(twice)).when(goes_on(once), body).otherwise(once)
+    return F.when(~F.rlike(body, pattern), body).when(F.rlike(once, pattern), F.when(goes_on(twice), once).otherwise(twice)).when(goes_on(once), body).otherwise(once)
 
 
 def chapter_body(text: Column, title: Column) -> Column:

@@ -151,7 +151,7 @@ def rule_id(value: Column, most: int = 96) -> Column:
 
 
 def rule_effects(rules: DataFrame, cleaned: DataFrame) -> DataFrame:
-    """(id, doc_id, ok, effect): what literal rules did to the text that was cleaned with them. ``rules(id, doc_id, action, pattern)``.
+    """(id, doc_id, action, ok, effect): what literal rules did to the text that was cleaned with them. ``rules(id, doc_id, action, pattern)``.
 
     A discarding rule's pattern must be gone, a protecting rule's must be there; review is not checked. A document
     without a cleaned text fails."""
@@ -161,7 +161,7 @@ def rule_effects(rules: DataFrame, cleaned: DataFrame) -> DataFrame:
         F.when(F.col("__t").isNull(), "cleaned_output_missing").when(F.col("action") == "discard", F.when(held, "discard_pattern_still_in_cleaned").otherwise("discard_pattern_absent_from_cleaned"))
         .when(F.col("action") == "protect", F.when(held, "protect_pattern_present_in_cleaned").otherwise("protect_pattern_missing_from_cleaned")).otherwise("review_rule_not_checked_against_cleaned_text")
     )
-    return joined.select("id", "doc_id", (~effect.isin("cleaned_output_missing", "discard_pattern_still_in_cleaned", "protect_pattern_missing_from_cleaned")).alias("ok"), effect.alias("effect"))
+    return joined.select("id", "doc_id", "action", (~effect.isin("cleaned_output_missing", "discard_pattern_still_in_cleaned", "protect_pattern_missing_from_cleaned")).alias("ok"), effect.alias("effect"))
 
 
 def suggestions(feedback: DataFrame, rejected: DataFrame, least: int = 2) -> DataFrame:

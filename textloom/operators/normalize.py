@@ -72,9 +72,18 @@ def fix_log(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     start = F.coalesce(F.col(text_col), F.lit(""))
     found = []
     text = html_tables(start)
-    for no, (pattern, replacement, rule, confidence) in enumerate(OCR_RULES):
-        between, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, T.rx(pattern), 0)
-        begin = lambda i, b=between, h=hits: F.aggregate(F.slice(b, 1, i + 1), F.lit(0), lambda n, x: n + F.length(x)) + F.aggregate(F.slice(h, 1, i), F.lit(0), lambda n, x: n + F.length(x))
-        found.append(F.transform(hits, lambda m, i, at=begin, no=no, to=replacement, r=rule, p=confidence: F.struct(F.lit(no).alias("rule_no"), F.concat(F.lit("l_"), at(i).cast("string")).alias("line_id"), m.alias("before"), F.lit(to).alias("after"), F.lit(r).alias("rule"), F.lit(p).alias("confidence"))))
+
+    def fixes(between: Column, hits: Column, no: int) -> Column:
+        _, to, rule, sure = OCR_RULES[no]
+        sizes = lambda parts, n: F.aggregate(F.slice(parts, 1, n), F.lit(0), lambda total, x: total + F.length(x))
+
+        def fix(match: Column, i: Column) -> Column:
+            offset = sizes(between, i + 1) + sizes(hits, i)
+            return F.struct(F.lit(no).alias("rule_no"), F.concat(F.lit("l_"), offset.cast("string")).alias("line_id"), match.alias("before"), F.lit(to).alias("after"), F.lit(rule).alias("rule"), F.lit(sure).alias("confidence"))
+
+        return F.transform(hits, fix)
+
+    for no, (pattern, replacement, _, _) in enumerate(OCR_RULES):
+        found.append(fixes(F.split(text, pattern, -1), F.regexp_extract_all(text, T.rx(pattern), 0), no))
         text = F.regexp_replace(text, pattern, replacement)
     return docs.select(F.col(id_col), F.explode(F.concat(*found)).alias("fix")).select(id_col, "fix.*")

@@ -149,21 +149,23 @@ def output_retention(blocks: DataFrame, outputs: DataFrame) -> DataFrame:
     that some row of the output must hold."""
     grouped = blocks.where(F.col("status").isin("keep", "review", "evidence")).groupBy("doc_id").agg(F.collect_list(F.struct("status", "type", "text")).alias("b"))
     joined = grouped.join(outputs.select("doc_id", *[F.coalesce(F.col(c), F.lit("")).alias(f"__{c}") for c in ("primary", "review", "evidence")]), "doc_id", "left")
-    totals, columns = [], [F.col("doc_id")]
-    for status, name in (("keep", "primary"), ("review", "review"), ("evidence", "evidence")):
-        target = F.coalesce(F.col(f"__{name}"), F.lit(""))
-        own = F.filter("b", lambda x, s=status: x["status"] == s)
+    tight = lambda c: F.lower(F.regexp_replace(c, f"[{T.SPACE}]+", ""))
+
+    def lacking(status: str, target: Column) -> dict[str, Column]:
+        own = F.filter("b", lambda x: x["status"] == status)
         texts = F.transform(own, lambda x: x["text"])
-        of = lambda kind, own=own: F.transform(F.filter(own, lambda x: x["type"] == kind), lambda x: x["text"])
-        tight = lambda c: F.lower(F.regexp_replace(c, f"[{T.SPACE}]+", ""))
+        of = lambda kind: F.transform(F.filter(own, lambda x: x["type"] == kind), lambda x: x["text"])
         rows = F.transform(F.filter(F.split(target, "\n"), lambda x: F.contains(x, F.lit("|")) & ~T.strip(x).rlike(_RULE_LINE)), table_cells)
-        lacks = {
-            "links": F.filter(_signals(texts, LINK), lambda x, t=target: ~F.contains(F.lower(t), F.lower(x))),
-            "parameters": F.filter(_signals(texts, NAMED_PARAMETER), lambda x, t=target, f=tight: ~F.contains(f(t), f(x))),
-            "code": F.filter(F.transform(of("code"), code_probe), lambda x, t=target: x.isNotNull() & ~F.contains(_squeezed(t), _squeezed(x))),
-            "tables": F.filter(F.transform(of("table"), table_probe), lambda x, r=rows: (F.size(x) > 0) & ~F.exists(r, lambda row, x=x: F.size(F.array_except(x, row)) == 0)),
+        return {
+            "links": F.filter(_signals(texts, LINK), lambda x: ~F.contains(F.lower(target), F.lower(x))),
+            "parameters": F.filter(_signals(texts, NAMED_PARAMETER), lambda x: ~F.contains(tight(target), tight(x))),
+            "code": F.filter(F.transform(of("code"), code_probe), lambda x: x.isNotNull() & ~F.contains(_squeezed(target), _squeezed(x))),
+            "tables": F.filter(F.transform(of("table"), table_probe), lambda x: (F.size(x) > 0) & ~F.exists(rows, lambda row: F.size(F.array_except(x, row)) == 0)),
         }
-        for key, found in lacks.items():
+
+    totals, columns = [], [F.col("doc_id")]
+    for status, name in (("keep", "primary"), ("review", "review"), ("evidence", "evidence")):
+        for key, found in lacking(status, F.coalesce(F.col(f"__{name}"), F.lit(""))).items():
             columns.append(F.size(found).cast("long").alias(f"{name}_{key}"))
             totals.append(f"{name}_{key}")
     counted = joined.select(*columns)

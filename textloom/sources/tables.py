@@ -18,7 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, content, size, place) of every file below a directory, but for ignored folders.
+    """(path, content, size, place) of every file below a directory, but for ignored folders and for
+    names that begin with a dot or an underscore, which the engine's file sources never list.
 
     ``place`` orders files as a walk does that takes the names of each folder without regard to case."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
