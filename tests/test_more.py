@@ -111,7 +111,7 @@ def test_patches_pass_their_guards(spark):
 
 
 def test_curation(spark):
-    text = "\n\n".join(["# Title", "@someone", "Author: me, see [me](http://x)", "Intro\n\n## Part", "@handle", "Chapter 2\nBig Idea\n17", "Chapter 2\nBig Idea starts here.\nmore\n18", "====== Chapter 3 ======", "<!-- page: 4 -->", "### Contents", "One thing: here   3\nOther thing: there   9", "### Bob: A lesson", "About the author", "Biography: a method of steps", "### Closing words", "to all of you"])
+    text = "\n\n".join(["# Title", "@someone", "Author: me, see [me](http://x)", "Intro\n\n## Part", "@handle", "Chapter 2\nBig Idea\n17", "Chapter 2\nBig Idea starts here!\nmore\n18", "====== Chapter 3 ======", "<!-- page: 4 -->", "### Contents", "One thing: here   3\nOther thing: there   9", "### Bob: A lesson", "About the author", "Biography: a method of steps", "### Closing words", "to all of you"])
     docs = spark.createDataFrame([(1, text), (2, "x"), (3, None)], "doc_id long, text string")
     rows = U.curate(C.classify(B.with_heading_path(B.blockify(docs)))).where("doc_id = 1").orderBy("ord").collect()
     got = {r.text.split("\n")[0] if not r.text.startswith("Chapter 2\nBig Idea starts") else "body": (r.status, r.type) for r in rows}
@@ -120,7 +120,7 @@ def test_curation(spark):
     assert got["One thing: here   3"][1] == "toc" and got["### Contents"][1] == "toc_heading" and got["About the author"][1] == "author_intro" and got["Biography: a method of steps"] == ("review", "author_intro_review")
     assert got["### Closing words"][1] == "marketing_wrapper" and got["to all of you"][1] == "marketing_wrapper"
     curated = {r.text.split("\n")[0]: r.curated_text for r in rows if r.curated_text}
-    assert curated["### Bob: A lesson"] == "### A lesson" and curated["Chapter 2"] == "## Big Idea\n\nstarts here.\nmore"
+    assert curated["### Bob: A lesson"] == "### A lesson" and curated["Chapter 2"] == "## Big Idea\n\nstarts here!\nmore"
 
 
 def test_chunks_carry_headings_and_pages(spark):
