@@ -1,10 +1,14 @@
-"""Markdown text -> typed blocks, by running counts and per-run minima over lines (gaps and islands).
+"""Markdown text -> typed blocks, by one pass over the lines of each document where it is read.
 
-All windows and the final aggregate share one partitioning, that of the document; texts are shuffled once.
+Blocks are shuffled once, by document; no line is shuffled or sorted by itself.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +16,8 @@ from pyspark.sql.window import Window
 from textloom.functions import text as T
 
 SHORT_IMAGE = 200
+#: Bytes of text after which scanned blocks are handed on.
+FLUSH = 16_000_000
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -28,63 +34,124 @@ def block_type(text: Column) -> Column:
     )
 
 
-def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Each line with the kind of block it belongs to and a key that its block's lines share."""
-    doc = Window.partitionBy("doc_id")
-    order = doc.orderBy("i")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    c, s = F.col, F.col("s")
-    again = c("doc_id").isNull() | F.coalesce(F.lag("i").over(order) == c("i"), F.lit(False))  # else lines of two texts would be one
-    refused = F.when(again, F.raise_error(F.lit("documents need an id each: one is null or stands on two rows"))).otherwise(c("line"))
-    flags = lines(docs, id_col, text_col).withColumn("line", refused).withColumn("s", T.strip(c("line"))).withColumns({
-        "fence": s.startswith(T.FENCE), "blank": s == "", "pipe": s.startswith("|"), "quote": s.startswith(">"),
-        "heading": c("line").rlike(r"^#{1,6}[" + T.SPACE + "]+."), "image": s.rlike(T.IMAGE) & (F.length(s) < SHORT_IMAGE),
-    })
-    fenced = flags.withColumn("toggles", F.sum(F.col("fence").cast("int")).over(upto))
-    fenced = fenced.withColumn("code", (c("toggles") % 2 == 1) | c("fence")).withColumn("last", F.max("i").over(doc))
-    before, after = F.lag("quote").over(order), F.lead("quote").over(order)
-    quoting = ~c("code") & (c("quote") | (c("blank") & F.coalesce(before, F.lit(False)) & F.coalesce(after, c("i") == c("last"))))
-    piped = fenced.withColumn("in_quote", quoting).withColumn("pipe", c("pipe") & ~c("code"))
-    runs = piped.withColumns({f"run_{k}": F.sum((~c(v)).cast("int")).over(upto) for k, v in (("p", "pipe"), ("q", "in_quote"))})
-    in_p, in_q = Window.partitionBy("doc_id", "run_p", "pipe"), Window.partitionBy("doc_id", "run_q", "in_quote")
-    second = F.instr(F.expr("substring(s, 2)"), "|") > 0
-    runs = runs.withColumns({"p_first": F.min(F.when(c("pipe") & second, c("i"))).over(in_p), "p_last": F.max("i").over(in_p)})
-    runs = runs.withColumn("q_first", F.min(F.when(c("in_quote") & c("quote") & ~c("image"), c("i"))).over(in_q))
-    is_table = c("pipe") & c("p_first").isNotNull() & (c("p_first") < c("p_last")) & (c("i") >= c("p_first"))
-    is_quote = c("in_quote") & c("q_first").isNotNull() & (c("i") >= c("q_first"))
-    kind = (
-        F.when(c("code"), "code").when(c("blank") & ~(is_quote), "blank").when(c("heading"), "heading").when(is_table, "table")
-        .when(c("image") & ~is_quote, "image").when(is_quote, "quote").otherwise("text")
-    )
-    kinds = runs.withColumn("kind", kind)
-    kinds = kinds.withColumn("run_t", F.sum((c("kind") != "text").cast("int")).over(upto))
-    key = (
-        F.when(c("kind") == "code", F.floor((c("toggles") + 1) / 2)).when(c("kind") == "table", c("run_p")).when(c("kind") == "quote", c("run_q"))
-        .when(c("kind") == "text", c("run_t")).otherwise(c("i"))
-    )
-    return kinds.where(c("kind") != "blank").select("doc_id", "i", "line", "kind", key.cast("long").alias("key"), (c("toggles") % 2 == 1).alias("open"), "last")
+#: What the scanner goes by; the same in Python as in the engine's dialect. Fixed values.
+_HEADING = re.compile(rf"#{{1,6}}[{re.escape(T.SPACES)}]+[^\n\r\x85\u2028\u2029]")
+_IMAGE = re.compile(T.IMAGE)
+
+
+def scan(text: str) -> list[tuple[str, str, int, int]]:
+    """(kind, text, first line, last line) of each block, in order; one pass over the lines.
+
+    Kinds: code, heading, table, image, quote, text. Blocks of white space are none."""
+    rows = text.split("\n")
+    n = len(rows)
+    bare = [x.strip(T.SPACES) for x in rows]
+    out: list[tuple[str, str, int, int]] = []
+
+    def put(kind: str, first: int, end: int, last: int | None = None) -> None:
+        own = bare[first] if end == first + 1 else "\n".join(rows[first:end]).strip(T.SPACES)
+        if own:
+            out.append((kind, own, first, end - 1 if last is None else last))
+
+    def is_image(s: str) -> bool:
+        return "![" in s and len(s) < SHORT_IMAGE and _IMAGE.search(s) is not None
+
+    def single(i: int) -> str:
+        return "heading" if rows[i].startswith("#") and _HEADING.match(rows[i]) else "image" if is_image(bare[i]) else "text"
+
+    i, run = 0, -1  # run: where a run of plain lines began
+    while i < n:
+        s, first, kind = bare[i], i, "text"
+        mark = s[:1]
+        if mark == "":
+            kind, end = "blank", i + 1
+        elif mark == "`" and s.startswith(T.FENCE):
+            kind, end = "code", i + 1
+            while end < n and not bare[end].startswith(T.FENCE):
+                end += 1
+            end += 1
+        elif mark == "|":
+            end = i + 1
+            while end < n and bare[end].startswith("|"):
+                end += 1
+            first = next((j for j in range(i, end) if "|" in bare[j][1:]), end)
+            first, kind = (first, "table") if first < end - 1 else (end, "table")
+        elif mark == ">":
+            end = i + 1
+            while end < n and (bare[end].startswith(">") or (not bare[end] and bare[end - 1].startswith(">") and (end + 1 == n or bare[end + 1].startswith(">")))):
+                end += 1
+            first, kind = next((j for j in range(i, end) if bare[j].startswith(">") and not is_image(bare[j])), end), "quote"
+        else:
+            kind, end = single(i), i + 1
+        before = range(i, min(first, n)) if kind in ("table", "quote") else ()  # lines of the run that the block leaves out
+        for j in before:
+            own = single(j) if bare[j] else "blank"
+            if own == "text":
+                run = j if run < 0 else run
+                continue
+            if run >= 0:
+                put("text", run, j)
+                run = -1
+            if own != "blank":
+                put(own, j, j + 1)
+        if kind == "text":
+            run = i if run < 0 else run
+        elif first < end:
+            if run >= 0:
+                put("text", run, first)
+                run = -1
+            if kind == "code":
+                put(kind, i, min(end, n), end - 1)  # one past the last line, if nothing ends it
+            elif kind != "blank":
+                put(kind, first, end)
+        i = end
+    if run >= 0:
+        put("text", run, n)
+    return out
+
+
+#: What the scanner gives of each block.
+_BLOCK = pa.struct([("kind", pa.string()), ("text", pa.string()), ("line_start", pa.int32()), ("line_end", pa.int32())])
+
+
+def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) -> (doc_id, blocks), some documents at a time."""
+    for batch in batches:
+        began, offsets, blocks, size = 0, [0], [], 0
+
+        def done(end: int) -> pa.RecordBatch:
+            columns = list(zip(*blocks, strict=True)) or [()] * 4  # noqa: B023  used up at once
+            made = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _BLOCK, strict=True)], fields=list(_BLOCK))
+            return pa.RecordBatch.from_arrays([batch.column(0).slice(began, end - began), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), made)], ["doc_id", "blocks"])  # noqa: B023
+
+        for row, text in enumerate(batch.column(1).cast(pa.binary())):
+            raw = text.as_py() or b""
+            blocks += scan(raw.decode("utf-8", "replace"))
+            offsets.append(len(blocks))
+            size += len(raw)
+            if size > FLUSH:
+                yield done(row + 1)
+                began, offsets, blocks, size = row + 1, [0], [], 0
+        if began < batch.num_rows:
+            yield done(batch.num_rows)
 
 
 def blockify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ord, block_id, type, text, line_start, line_end, protected, level, title), in document order.
 
     Lines count from 0; a code block without an end reaches one past the last line. Documents of white space, and
-    null texts, have no block. An id that is null or stands on two rows is an error: its lines can't be told apart."""
-    grouped = _marked(docs, id_col, text_col).groupBy("doc_id", "kind", "key").agg(
-        F.min("i").alias("line_start"), F.max("i").alias("line_end"), F.max("last").alias("last"), F.max(F.when(F.col("i") == F.col("last"), F.col("open"))).alias("open"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n").alias("raw"),
-    )
-    text = T.strip(F.col("raw"))
-    named = grouped.withColumn("text", text).where(F.col("text") != "")
-    kind = (
-        F.when(F.col("kind") == "text", block_type(F.col("text"))).when(F.col("kind") == "heading", "section_heading").when(F.col("kind") == "image", "image_evidence").otherwise(F.col("kind"))
-    )
-    end = F.when((F.col("kind") == "code") & F.coalesce("open", F.lit(False)), F.col("last") + 1).otherwise(F.col("line_end"))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("line_start")) - 1
-    heading = F.col("kind") == "heading"
-    return named.select(
-        "doc_id", rank.cast("int").alias("ord"), F.format_string("b_%06d", rank).alias("block_id"), kind.alias("type"), "text", "line_start", end.cast("int").alias("line_end"),
-        F.col("kind").isin("code", "table").alias("protected"), F.when(heading, F.length(F.regexp_extract("text", "^(#+)", 1))).alias("level"), F.when(heading, T.strip(F.regexp_replace("text", "^#+", ""))).alias("title"),
+    null texts, have no block. An id that is null or stands on two rows is an error: its blocks can't be told apart."""
+    c = F.col
+    id_type = docs.schema[id_col].dataType.simpleString()
+    scanned = docs.select(c(id_col).alias("doc_id"), c(text_col).alias("text")).mapInArrow(_scanned, f"doc_id {id_type}, blocks array<struct<kind:string,text:string,line_start:int,line_end:int>>")
+    again = c("doc_id").isNull() | (F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id")) > 1)
+    alone = F.when(c("__again"), F.raise_error(F.lit("documents need an id each: one is null or stands on two rows")).cast("boolean")).otherwise(True)
+    rows = scanned.withColumn("__again", again).where(alone).select("doc_id", F.posexplode("blocks").alias("ord", "b")).select("doc_id", "ord", "b.*")
+    typed = F.when(c("kind") == "text", block_type(c("text"))).when(c("kind") == "heading", "section_heading").when(c("kind") == "image", "image_evidence").otherwise(c("kind"))
+    heading = c("kind") == "heading"
+    return rows.select(
+        "doc_id", "ord", F.format_string("b_%06d", "ord").alias("block_id"), typed.alias("type"), "text", "line_start", "line_end",
+        c("kind").isin("code", "table").alias("protected"), F.when(heading, F.length(F.regexp_extract("text", "^(#+)", 1))).alias("level"), F.when(heading, T.strip(F.regexp_replace("text", "^#+", ""))).alias("title"),
     )
 
 

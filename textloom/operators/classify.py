@@ -12,14 +12,15 @@ from textloom.rules import RuleSet
 CONFIDENCE = {"wrapper": 0.96, "structural": 0.90, "image": 0.0, "protected": 0.90, "contextual": 0.88, "discard": 0.95, "evidence": 0.85, "garbled": 0.80, "default": 0.70}
 
 
-def labelled(text: Column, pairs: tuple[tuple[str, str], ...], multiline: bool = False) -> Column:
+def labelled(text: Column, pairs: tuple[tuple[str, str], ...], multiline: bool = False, low: Column | None = None) -> Column:
     """The label of the first pattern that is found."""
     flag = "(?m)" if multiline else ""
-    return F.coalesce(*[F.when(text.rlike(flag + T.anycase(p)), F.lit(name)) for name, p in pairs], F.lit(None).cast("string"))
+    return F.coalesce(*[F.when(T.found(text, flag + T.anycase(p), low), F.lit(name)) for name, p in pairs], F.lit(None).cast("string"))
 
 
 def is_garbled(text: Column) -> Column:
-    return (F.length(text) >= 20) & (F.regexp_count(text, T.rx(T.FOREIGN)) > 0.3 * F.length(text))
+    foreign = F.octet_length(text) - F.length(text)  # as many at most: each takes two bytes or more
+    return (F.length(text) >= 20) & (foreign > 0.3 * F.length(text)) & (F.regexp_count(text, T.rx(T.FOREIGN)) > 0.3 * F.length(text))
 
 
 def has_exact(text: Column, terms: tuple[str, ...]) -> Column:
@@ -34,13 +35,14 @@ DETAIL_TYPES = ("operation_step", "case_step", "tool_instruction", "prompt", "co
 IMAGE_TYPES = ("image_evidence", "image_operation", "diagram")
 
 
-def cta_signal(text: Column, rules: RuleSet) -> Column:
-    return T.any_term(text, list(rules.cta))
+def cta_signal(text: Column, rules: RuleSet, low: Column | None = None) -> Column:
+    return T.any_term(text, list(rules.cta), low)
 
 
-def protected_type(text: Column, rules: RuleSet) -> Column:
+def protected_type(text: Column, rules: RuleSet, low: Column | None = None) -> Column:
     """The kind of detail that a text shows by itself; null for none."""
-    return F.when(text.startswith(T.FENCE), "code").when(text.startswith("|") | F.contains(F.lower(text), F.lit("<table")), "table").otherwise(labelled(text, rules.protected, True))
+    tagged_table = F.contains(F.lower(text) if low is None else low, F.lit("<table"))
+    return F.when(text.startswith(T.FENCE), "code").when(text.startswith("|") | tagged_table, "table").otherwise(labelled(text, rules.protected, True, low))
 
 
 def headings_of(blocks: DataFrame) -> Column:
@@ -48,51 +50,53 @@ def headings_of(blocks: DataFrame) -> Column:
     return F.coalesce(F.array_join("heading_path", " "), F.lit("")) if "heading_path" in blocks.columns else F.lit("")
 
 
-def wrapper_type(text: Column, rules: RuleSet, heading: Column | None = None) -> Column:
+def wrapper_type(text: Column, rules: RuleSet, heading: Column | None = None, low: Column | None = None) -> Column:
     """Text that sells the source rather than teaching: short calls to action, sections and lines of the wrapping.
 
     The source's own title, refund terms and what speaks of a method stay."""
     heading = F.lit("") if heading is None else heading
     searchable = F.concat(heading, F.lit("\n"), text)
     compact = F.regexp_replace(text, f"[{T.SPACE}]+", "")
-    short = (F.length(compact) <= 80) & T.any_term(compact, [t.replace(" ", "") for t in rules.cta]) & ~has_exact(compact, rules.knowledge)
-    method = F.coalesce(protected_type(text, rules) == "operation_step", F.lit(False)) | has_exact(searchable, rules.business_context + rules.knowledge)
+    short = T.at_most(text, 80) & T.any_term(compact, [t.replace(" ", "") for t in rules.cta]) & ~has_exact(compact, rules.knowledge)
+    stepped = F.coalesce(protected_type(text, rules, low) == "operation_step", F.lit(False)) if any(name == "operation_step" for name, _ in rules.protected) else F.lit(False)
+    method = stepped | has_exact(searchable, rules.business_context + rules.knowledge)
     for pattern in rules.method_patterns:
-        method = method | searchable.rlike(pattern)
+        method = method | T.found(searchable, pattern)
     title = T.strip(F.regexp_replace(text, "^[# ]+", ""))
+    headed, lined = has_exact(searchable, rules.wrapper_headings), T.any_pattern(text, list(rules.wrapper_lines), low)
     none = F.lit(None).cast("string")
     return (
-        F.when(title.isin(*rules.own_titles) if rules.own_titles else F.lit(False), none).when(T.any_pattern(text, list(rules.refund)), none).when(short, "marketing_cta").when(method, none)
-        .when(has_exact(searchable, rules.wrapper_headings), F.when(has_exact(searchable, rules.back_matter), "back_matter").otherwise("marketing_wrapper"))
-        .when(T.any_pattern(text, list(rules.wrapper_lines)), "marketing_wrapper")
+        F.when(~(headed | short | lined), none)  # what could make it one is cheaper to see than what speaks against it
+        .when(title.isin(*rules.own_titles) if rules.own_titles else F.lit(False), none).when(T.any_pattern(text, list(rules.refund), low), none).when(short, "marketing_cta").when(method, none)
+        .when(headed, F.when(has_exact(searchable, rules.back_matter), "back_matter").otherwise("marketing_wrapper")).when(lined, "marketing_wrapper")
     )
 
 
-def contextual_cta(text: Column, rules: RuleSet, heading: Column | None = None) -> Column:
+def contextual_cta(text: Column, rules: RuleSet, heading: Column | None = None, low: Column | None = None) -> Column:
     """Whether a call to action is what the text is about: a lesson, a case, or a rule that handles it."""
     speaks = has_exact(text, rules.knowledge + rules.tutorial)
     if heading is not None:
         speaks = speaks | has_exact(heading, rules.business_context + rules.knowledge)
     for pattern in rules.conditional_cta:
-        speaks = speaks | text.rlike(pattern)
-    return cta_signal(text, rules) & speaks
+        speaks = speaks | T.found(text, pattern, low)
+    return cta_signal(text, rules, low) & speaks
 
 
-def discard_type(text: Column, rules: RuleSet) -> Column:
+def discard_type(text: Column, rules: RuleSet, low: Column | None = None) -> Column:
     return (
-        F.when(T.any_pattern(text, list(rules.filler)), "transcript_filler").when(T.any_term(text, list(rules.cta)), "marketing_cta")
-        .when(T.any_pattern(text, list(rules.refund)), "refund_policy").when(T.any_pattern(text, list(rules.footer)), "footer")
+        F.when(T.any_pattern(text, list(rules.filler), low), "transcript_filler").when(T.any_term(text, list(rules.cta), low), "marketing_cta")
+        .when(T.any_pattern(text, list(rules.refund), low), "refund_policy").when(T.any_pattern(text, list(rules.footer), low), "footer")
     )
 
 
 def classify(blocks: DataFrame, rules: RuleSet | None = None) -> DataFrame:
     """Adds status, confidence, reason; sets type and protected. The first matching step of the chain decides."""
     rules = rules or RuleSet()
-    t, kind = F.col("text"), F.col("type")
+    t, kind, low = F.col("text"), F.col("type"), F.col("__low")
     heading = headings_of(blocks)
-    guard, contextual = protected_type(t, rules), contextual_cta(t, rules, heading)
+    guard, contextual = protected_type(t, rules, low), contextual_cta(t, rules, heading, low)
     out = lambda status, name, protected, reason, confidence: F.struct(F.lit(status).alias("status"), name.alias("type"), (F.lit(protected) if isinstance(protected, bool) else protected).alias("protected"), reason.alias("reason"), F.lit(CONFIDENCE[confidence]).alias("confidence"))
-    wrapper, drop, evidence = wrapper_type(t, rules, heading), discard_type(t, rules), labelled(t, rules.evidence)
+    wrapper, drop, evidence = wrapper_type(t, rules, heading, low), discard_type(t, rules, low), labelled(t, rules.evidence, low=low)
     own = F.col("protected")
     none = F.lit(None).cast("string")
     chain = (
@@ -108,7 +112,8 @@ def classify(blocks: DataFrame, rules: RuleSet | None = None) -> DataFrame:
         .when(is_garbled(t), out("discard", F.lit("garbled_text"), own, F.lit("garbled"), "garbled"))
         .otherwise(out("keep", kind, own, none, "default"))
     )
-    return blocks.withColumn("__d", chain).drop("type", "protected").select("*", "__d.*").drop("__d")
+    lowered = blocks.withColumn("__low", F.lower("text"))
+    return lowered.select(*[c for c in blocks.columns if c not in ("type", "protected")], F.inline(F.array(chain)))  # once a block: no filter is merged into a generator
 
 
 def split_promo(blocks: DataFrame, rules: RuleSet | None = None) -> DataFrame:
@@ -149,13 +154,13 @@ def apply_rules(blocks: DataFrame, rules: RuleSet | None = None) -> DataFrame:
     A rule protects, sends to review, or discards; its reason and tag stay with the block."""
     rules = rules or RuleSet()
     free = ~F.col("protected")
-    of = lambda name: F.when(free, rules.first_rule(F.col("text"), name))
-    named = blocks.withColumns({"__a": of("action"), "__tag": of("risk_tag"), "__why": of("reason"), "cleaning_rule_id": of("rule_id"), "cleaning_rule_source": of("source")})
+    of = lambda name: rules.of_rule(F.col("__r"), name)
+    named = T.once(blocks.withColumn("__low", F.when(free, F.lower("text"))), __r=F.when(free, rules.rule_at(F.col("text"), F.col("__low")))).drop("__low").withColumns({"__a": of("action"), "__tag": of("risk_tag"), "__why": of("reason"), "cleaning_rule_id": of("rule_id"), "cleaning_rule_source": of("source")})
     why = F.coalesce(F.nullif("__why", F.lit("")), F.col("reason")) if "reason" in blocks.columns else F.col("__why")
     return named.withColumns({
         "status": F.when(F.col("__a") == "protect", "keep").when(F.col("__a").isNotNull(), F.col("__a")).otherwise(F.col("status")), "type": F.when(F.col("__a") == "discard", "marketing_cta").otherwise(F.col("type")),
         "protected": F.col("protected") | F.coalesce(F.col("__a") == "protect", F.lit(False)), "reason": why, "risk_tags": tagged(_tags(blocks), F.col("__tag")),
-    }).drop("__a", "__tag", "__why")
+    }).drop("__a", "__tag", "__why", "__r")
 
 
 def tutorial_context(text: Column, rules: RuleSet, heading: Column) -> Column:
@@ -199,7 +204,7 @@ STRICT_DETAILS = ("operation_step", "tool_or_platform", "parameter", "link", "pr
 def detail_categories(text: Column, kind: Column | None = None) -> Column:
     """The categories of details in a text, and that of its block's type, in the order of DETAILS."""
     def has(name: str, pattern: str) -> Column:
-        found = text.rlike(pattern)
+        found = T.found(text, pattern)
         kinds = [k for k, v in DETAIL_OF_TYPE.items() if v == name]
         return found | F.coalesce(kind.isin(*kinds), F.lit(False)) if kind is not None and kinds else found
 

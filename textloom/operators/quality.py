@@ -81,7 +81,7 @@ def detail_retention(blocks: DataFrame) -> DataFrame:
 def lost_details(blocks: DataFrame) -> DataFrame:
     """(doc_id, lost, block_ids): discarded blocks that hold strict details (more than links alone) and are no known pollution."""
     tags = F.col("risk_tags") if "risk_tags" in blocks.columns else F.lit(None).cast("array<string>")
-    rows = blocks.where("status = 'discard'").withColumn("__c", C.detail_categories(F.col("text"), F.col("type")))
+    rows = T.once(blocks.where("status = 'discard'"), __c=C.detail_categories(F.col("text"), F.col("type")))
     strict = F.array_except(F.array_intersect("__c", F.array(*map(F.lit, C.STRICT_DETAILS))), F.array(F.lit("link")))
     lost = rows.where((F.size(strict) > 0) & ~known_pollution(F.col("type"), tags, F.col("__c")))
     return lost.groupBy("doc_id").agg(F.count("*").alias("lost"), F.transform(F.array_sort(F.collect_list(F.struct("ord", "block_id"))), lambda x: x["block_id"]).alias("block_ids"))

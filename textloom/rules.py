@@ -53,10 +53,10 @@ class CleaningRule:
             found.append(f"{self.rule_id}: {problem}")
         return found
 
-    def hits(self, c: Column) -> Column:
+    def hits(self, c: Column, low: Column | None = None) -> Column:
         if self.match == "literal":
-            return F.contains(F.lower(c), F.lit(self.pattern.lower()))
-        return c.rlike(T.anycase(self.pattern))
+            return F.contains(F.lower(c) if low is None else low, F.lit(self.pattern.lower()))
+        return T.found(c, T.anycase(self.pattern), low)
 
 
 @dataclass(frozen=True)
@@ -99,20 +99,29 @@ class RuleSet:
 
     def first_rule(self, c: Column, name: str = "rule_id") -> Column:
         """By priority: protecting rules, then rules of users, then the others unless a knowledge term speaks for the text."""
+        return self.of_rule(self.rule_at(c), name)
+
+    def rule_at(self, c: Column, low: Column | None = None) -> Column:
+        """The place among the rules of the one that ``first_rule`` names; null for none."""
         of_users = lambda r: r.source == "user" or r.risk_tag.startswith("user_feedback_")
-        tiers = [r for r in self.rules if r.action == "protect"], [r for r in self.rules if r.action != "protect" and of_users(r)]
-        rest = [r for r in self.rules if r.action != "protect" and not of_users(r)]
+        own = list(enumerate(self.rules))
+        tiers = [x for x in own if x[1].action == "protect"], [x for x in own if x[1].action != "protect" and of_users(x[1])]
+        rest = [x for x in own if x[1].action != "protect" and not of_users(x[1])]
         knows = F.lit(False)
         for term in self.knowledge:
             knows = knows | F.contains(c, F.lit(term))
-        cases = [F.when(r.hits(c), F.lit(getattr(r, name))) for tier in tiers for r in tier] + [F.when(r.hits(c) & ~knows, F.lit(getattr(r, name))) for r in rest]
-        return F.coalesce(*cases, F.lit(None).cast("string"))
+        cases = [F.when(r.hits(c, low), F.lit(i)) for tier in tiers for i, r in tier] + [F.when(r.hits(c, low) & ~knows, F.lit(i)) for i, r in rest]
+        return F.coalesce(*cases, F.lit(None).cast("int"))
+
+    def of_rule(self, at: Column, name: str) -> Column:
+        """What the rule at a place says of itself."""
+        return F.get(F.array(*[F.lit(getattr(r, name)) for r in self.rules]), at) if self.rules else F.lit(None).cast("string")
 
-    def any_rule(self, c: Column) -> Column:
+    def any_rule(self, c: Column, low: Column | None = None) -> Column:
         """Whether any rule at all matches, whatever it would do."""
         found = F.lit(False)
         for rule in self.rules:
-            found = found | rule.hits(c)
+            found = found | rule.hits(c, low)
         return found
 
 
