@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 from textloom.operators import blocks as B
 from textloom.operators import classify as C
+from textloom.operators import feedback as K
 from textloom.operators import quality as Q
 from textloom.rules import RuleSet
 
@@ -59,3 +60,13 @@ def test_rule_of_a_place(spark):
     df = spark.createDataFrame([("subscribe today",), ("a licence, license",), ("x",), ("me@x.org",), (None,)], "t string")
     got = [tuple(x) for x in df.select(*[RuleSet().first_rule(F.col("t"), n) for n in ("rule_id", "action")]).collect()]
     assert got == [("drop-subscribe", "discard"), ("keep-licence", "protect"), (None, None), ("check-contact", "review"), (None, None)]
+
+
+def test_samples_are_looked_for_once(spark):
+    rows = spark.createDataFrame([(1, "discard", "En"), (2, "protect", "a b"), (3, "review", "x")], "doc_id long, action string, pattern string")
+    texts = spark.createDataFrame([(1, "case En one\nEn", "# En  two\nen TWO\n", "- EN"), (2, "a  b", "A\tb c", None), (3, "none", None, "")], "doc_id long, cleaned string, discarded string, review_needed string")
+    found = K.with_samples(rows, texts)
+    got = {r.doc_id: (r.examples, r.counterexamples) for r in found.collect()}
+    assert got == {1: (["En two", "EN"], []), 2: (["A b c", "a b"], []), 3: (["x"], [])}
+    plan = optimized(found)  # the lists of samples stand in the plan once each, and what makes them distinct reads those
+    assert sum("Generate inline" in x for x in plan.split("\n")) == 1

@@ -42,16 +42,19 @@ def accepted(proposals: DataFrame) -> DataFrame:
 def snippets(text: Column, pattern: Column, most: int = SNIPPETS) -> Column:
     """The first lines of a text that hold a literal pattern, without marks of headings and lists, cut to a length."""
     bare = lambda x: F.regexp_replace(F.regexp_replace(x, rf"^[{T.SPACE}]{{0,3}}#{{1,6}}[{T.SPACE}]*", ""), rf"^[{T.SPACE}]*[-*+][{T.SPACE}]+", "")
-    clean = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: T.strip(F.regexp_replace(bare(x), f"[{T.SPACE}]+", " ")))
-    found = F.filter(clean, lambda x: (x != "") & F.contains(F.lower(x), F.lower(pattern)))
+    low = F.lower(pattern)
+    several = pattern.rlike(f"[{T.SPACE}]")  # else the pattern stands in the line as it is, if in the clean one
+    rows = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: several | F.contains(F.lower(x), low))
+    clean = F.transform(rows, lambda x: T.strip(F.regexp_replace(bare(x), f"[{T.SPACE}]+", " ")))
+    found = F.filter(clean, lambda x: (x != "") & F.contains(F.lower(x), low))
     return F.transform(F.slice(found, 1, most), lambda x: F.substring(x, 1, SNIPPET_CHARS))
 
 
 def distinct_texts(values: Column) -> Column:
     """Without blank texts and those that equal an earlier one but for case."""
     clean = F.filter(F.transform(values, T.strip), lambda x: x != "")
-    lowered = F.transform(clean, F.lower)
-    return F.filter(clean, lambda x, i: F.array_position(lowered, F.lower(x)) == i + 1)
+    own = lambda lowered: F.filter(clean, lambda x, i: F.array_position(lowered, F.lower(x)) == i + 1)
+    return F.flatten(F.transform(F.array(F.transform(clean, F.lower)), own))  # lower case is made once, not for each of the texts
 
 
 def with_samples(proposals: DataFrame, texts: DataFrame) -> DataFrame:
@@ -64,8 +67,9 @@ def with_samples(proposals: DataFrame, texts: DataFrame) -> DataFrame:
     of = lambda names: F.concat(*[snippets(F.col(f"__{n}"), pattern) for n in names], F.array(pattern))
     examples = F.when(F.col("action") == "discard", of(SAMPLED["discard"])).when(F.col("action") == "protect", of(SAMPLED["protect"])).otherwise(of(SAMPLED["review"]))
     body = F.filter(snippets(F.col("__cleaned"), pattern, COUNTER_SNIPPETS), lambda x: (T.strip(x) != T.strip(pattern)) & x.rlike(BODY_WORDS))
-    counter = F.when(F.col("action") == "discard", F.slice(distinct_texts(body), 1, COUNTEREXAMPLES)).otherwise(F.array().cast("array<string>"))
-    return joined.withColumns({"examples": F.slice(distinct_texts(examples), 1, EXAMPLES), "counterexamples": counter}).drop("__cleaned", "__discarded", "__review_needed")
+    found = T.once(joined, __e=examples, __b=F.when(F.col("action") == "discard", body).otherwise(F.array().cast("array<string>")))
+    out = found.withColumns({"examples": F.slice(distinct_texts(F.col("__e")), 1, EXAMPLES), "counterexamples": F.slice(distinct_texts(F.col("__b")), 1, COUNTEREXAMPLES)})
+    return out.drop("__cleaned", "__discarded", "__review_needed", "__e", "__b")
 
 
 def number_variant(values: Column) -> Column:
