@@ -58,9 +58,7 @@ def text_quality(spark, sf):
 
 @query
 def text_quality_by_lang(spark, sf):
-    d = docs(spark, sf)
-    t = F.coalesce("text", F.lit(""))
-    measured = D.text_quality(d).join(d.select("doc_id", "lang", T.count(t, T.ALNUM).alias("a")), "doc_id")
+    measured = D.text_quality(docs(spark, sf), also=("lang", "alnum")).withColumnRenamed("alnum", "a")
     return measured.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("total_chars").alias("chars"), F.round(F.sum("a") / F.sum("total_chars"), 4).alias("alnum_ratio"), F.count_if(F.col("unreadable_text_ratio") > 0.03).alias("unreadable_docs"))
 
 
