@@ -12,6 +12,7 @@ from textloom.operators import blocks as B
 from textloom.operators import classify as C
 from textloom.operators import diagnose as D
 from textloom.operators import feedback as K
+from textloom.operators import normalize as N
 from textloom.operators import quality as Q
 from textloom.rules import RuleSet
 
@@ -89,3 +90,10 @@ def test_pages_and_texts_are_counted_in_one_pass(spark):
     pages = spark.createDataFrame([(1, 1, 1.0, 2.0, "some words", 0)], "doc_id long, page_no int, width double, height double, text string, n_images int")
     assert "regexp" not in optimized(D.page_stats(pages)).lower()
     assert D.text_quality(spark.createDataFrame([(1, "Al？", "en")], "doc_id long, text string, lang string"), also=("lang", "alnum")).select("lang", "alnum", "total_chars").collect() == [("en", 2, 3)]
+
+
+def test_each_rule_parts_a_text_once(spark):
+    docs = spark.createDataFrame([(1, "All in Al and All in Al, AlAl编程\n<table><tr><td>Google Al Studio</td></tr></table>")], "doc_id long, text string")
+    log = N.fix_log(docs)
+    assert optimized(log).count("split(") <= 8
+    assert [(r.rule_no, r.line_id) for r in log.orderBy("rule_no", "line_id").collect()] == [(0, "l_0"), (0, "l_14"), (1, "l_27"), (4, "l_34")]

@@ -152,9 +152,9 @@ def anycase(pattern: str) -> str:
 
 def rewrite(c: Column, pattern: str, change) -> Column:
     """The text with every match of the pattern replaced by ``change(match)``, a Column of it."""
-    between, found = F.split(c, pattern, -1), F.regexp_extract_all(c, rx(pattern), 0)
-    mixed = F.transform(between, lambda x, i: F.concat(x, F.coalesce(F.when(i < F.size(found), change(F.get(found, i))), F.lit(""))))
-    return F.when(F.size(found) > 0, F.array_join(mixed, "")).otherwise(c)
+    between, hits = F.split(c, pattern, -1), F.regexp_extract_all(c, rx(pattern), 0)
+    mixed = lambda h: F.array_join(F.transform(between, lambda x, i: F.concat(x, F.coalesce(F.when(i < F.size(h), change(F.get(h, i))), F.lit("")))), "")
+    return F.when(found(c, pattern), F.get(F.transform(F.array(hits), mixed), 0)).otherwise(c)  # the matches are made once, not for each of them
 
 
 def _quoted(term: str) -> str:

@@ -4,6 +4,8 @@ Only form is repaired, nothing is deleted; headings stay as they are. All of it
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,21 +71,26 @@ def normalize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 def fix_log(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, rule_no, line_id, before, after, rule, confidence): each repair of a confusion, with the offset at which its rule met it."""
-    start = F.coalesce(F.col(text_col), F.lit(""))
-    found = []
-    text = html_tables(start)
+    c = F.col
+    nothing = F.array().cast("array<struct<rule_no:int,line_id:string,before:string,after:string,rule:string,confidence:double>>")
 
-    def fixes(between: Column, hits: Column, no: int) -> Column:
+    def fixes(no: int) -> Callable[[Column], Column]:
         _, to, rule, sure = OCR_RULES[no]
         sizes = lambda parts, n: F.aggregate(F.slice(parts, 1, n), F.lit(0), lambda total, x: total + F.length(x))
 
-        def fix(match: Column, i: Column) -> Column:
-            offset = sizes(between, i + 1) + sizes(hits, i)
-            return F.struct(F.lit(no).alias("rule_no"), F.concat(F.lit("l_"), offset.cast("string")).alias("line_id"), match.alias("before"), F.lit(to).alias("after"), F.lit(rule).alias("rule"), F.lit(sure).alias("confidence"))
+        def all_of(s: Column) -> Column:
+            def fix(match: Column, i: Column) -> Column:
+                offset = sizes(s["between"], i + 1) + sizes(s["hits"], i)
+                return F.struct(F.lit(no).alias("rule_no"), F.concat(F.lit("l_"), offset.cast("string")).alias("line_id"), match.alias("before"), F.lit(to).alias("after"), F.lit(rule).alias("rule"), F.lit(sure).alias("confidence"))
 
-        return F.transform(hits, fix)
+            return F.transform(s["hits"], fix)
 
+        return all_of
+
+    # each rule parts the text once; its repairs, and the text that the next rule gets, are made of the parts
+    rows = docs.select(c(id_col), html_tables(F.coalesce(c(text_col), F.lit(""))).alias("__t"))
     for no, (pattern, replacement, _, _) in enumerate(OCR_RULES):
-        found.append(fixes(F.split(text, pattern, -1), F.regexp_extract_all(text, T.rx(pattern), 0), no))
-        text = F.regexp_replace(text, pattern, replacement)
-    return docs.select(F.col(id_col), F.explode(F.concat(*found)).alias("fix")).select(id_col, "fix.*")
+        rows = T.once(rows, __p=F.split(c("__t"), pattern, -1), __m=F.regexp_extract_all(c("__t"), T.rx(pattern), 0))
+        own = F.get(F.transform(F.array(F.struct(c("__p").alias("between"), c("__m").alias("hits"))), fixes(no)), 0)
+        rows = rows.select(id_col, *[f"__f{k}" for k in range(no)], F.when(F.size("__m") > 0, own).otherwise(nothing).alias(f"__f{no}"), F.array_join("__p", replacement).alias("__t"))
+    return rows.select(id_col, F.explode(F.concat(*[c(f"__f{k}") for k in range(len(OCR_RULES))])).alias("fix")).select(id_col, "fix.*")
