@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from textloom.functions import measures as M
 from textloom.functions import text as T
 from textloom.operators import blocks as B
 from textloom.operators import classify as C
+from textloom.operators import curate as U
 from textloom.operators import diagnose as D
 from textloom.operators import feedback as K
 from textloom.operators import normalize as N
@@ -97,3 +99,18 @@ def test_each_rule_parts_a_text_once(spark):
     log = N.fix_log(docs)
     assert optimized(log).count("split(") <= 8
     assert [(r.rule_no, r.line_id) for r in log.orderBy("rule_no", "line_id").collect()] == [(0, "l_0"), (0, "l_14"), (1, "l_27"), (4, "l_34")]
+
+
+def test_curation_makes_blocks_once(spark):
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string")
+    plan = optimized(U.curate(C.classify(B.with_heading_path(B.blockify(docs)))))
+    assert plan.count("MapInArrow") == 1 and not re.search(r"(?m)^[ :+-]*Join ", plan)
+
+
+def test_contents_are_passed_once():
+    row = {**dict.fromkeys(U.READ, False), "status": "keep"}
+    heading, toc = {**row, "heading": True}, {**row, "toc": True}
+    began = time.process_time()
+    assert U.verdicts([row, *[heading] * 5, *[toc] * 20_000]) == [None, *["toc_heading"] * 5, *["toc"] * 20_000]
+    assert time.process_time() - began < 5
+    assert U.verdicts([heading, row, toc, heading, toc, row, *[heading] * 4, toc]) == [None, None, "toc", "toc_heading", "toc", None, None, *["toc_heading"] * 3, "toc"]

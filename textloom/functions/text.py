@@ -50,6 +50,11 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(SPACES))
 
 
+def after(look: Column, test: Column) -> Column:
+    """``look & test``, whose test costs nothing where the look is false. Before it comes to an ``and`` the engine makes what the expressions right of it repeat, for every row."""
+    return F.when(~look, F.lit(False)).otherwise(test)
+
+
 def at_most(c: Column, n: int) -> Column:
     """Whether a text has at most n characters besides white space; reads no further than that."""
     return (F.length(c) <= n) | c.rlike(rf"^{_BLANK}*+(?:{_INK}{_BLANK}*+){{0,{n}}}+\z")

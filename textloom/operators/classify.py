@@ -57,7 +57,7 @@ def wrapper_type(text: Column, rules: RuleSet, heading: Column | None = None, lo
     heading = F.lit("") if heading is None else heading
     searchable = F.concat(heading, F.lit("\n"), text)
     compact = F.regexp_replace(text, f"[{T.SPACE}]+", "")
-    short = T.at_most(text, 80) & T.any_term(compact, [t.replace(" ", "") for t in rules.cta]) & ~has_exact(compact, rules.knowledge)
+    short = T.after(T.at_most(text, 80), T.any_term(compact, [t.replace(" ", "") for t in rules.cta]) & ~has_exact(compact, rules.knowledge))
     stepped = F.coalesce(protected_type(text, rules, low) == "operation_step", F.lit(False)) if any(name == "operation_step" for name, _ in rules.protected) else F.lit(False)
     method = stepped | has_exact(searchable, rules.business_context + rules.knowledge)
     for pattern in rules.method_patterns:
