@@ -16,6 +16,7 @@ from textloom.operators import diagnose as D
 from textloom.operators import feedback as K
 from textloom.operators import normalize as N
 from textloom.operators import quality as Q
+from textloom.operators import review as W
 from textloom.rules import RuleSet
 
 DOCS = [(1, "# Title\n\nplain words here\n\n| a | b |\n| - | - |\n\n1. step one\n\nsign up now"), (2, "```\ncode"), (3, None)]
@@ -114,3 +115,15 @@ def test_contents_are_passed_once():
     assert U.verdicts([row, *[heading] * 5, *[toc] * 20_000]) == [None, *["toc_heading"] * 5, *["toc"] * 20_000]
     assert time.process_time() - began < 5
     assert U.verdicts([heading, row, toc, heading, toc, row, *[heading] * 4, toc]) == [None, None, "toc", "toc_heading", "toc", None, None, *["toc_heading"] * 3, "toc"]
+
+
+def test_tags_of_many_patches(spark):
+    blocks = spark.createDataFrame([(1, k, f"b_{k}", "plain", "paragraph", False, "keep", ["old"]) for k in range(4)], "doc_id long, ord int, block_id string, text string, type string, protected boolean, status string, risk_tags array<string>")
+    n = 40_000  # a list that grew by one tag a step took n * n / 2 copies
+    many = spark.range(n).selectExpr("1L as doc_id", "'b_0' as block_id", "id as seq", "'add' as op", "'risk_tags' as field", "cast(id as string) as value")
+    few = [(1, "b_1", 5, "replace", '["a", "b"]'), (1, "b_1", 4, "add", "x"), (1, "b_1", 5, "add", "y"), (1, "b_1", 7, "add", "d"), (1, "b_1", 6, "add", "c"), (1, "b_1", 3, "replace", '["z"]'), (1, "b_2", 1, "replace", "[]")]
+    ops = many.unionByName(spark.createDataFrame(few, "doc_id long, block_id string, seq long, op string, value string").withColumn("field", F.lit("risk_tags")))
+    began = time.time()
+    got = {r.block_id: r.risk_tags for r in W.apply_patch(blocks, ops).collect()}
+    assert time.time() - began < 20
+    assert got == {"b_0": ["old", *map(str, range(n))], "b_1": ["a", "b", "c", "d"], "b_2": [], "b_3": ["old"]}

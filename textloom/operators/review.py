@@ -76,19 +76,22 @@ def validate_patch(ops: DataFrame, blocks: DataFrame) -> DataFrame:
 def apply_patch(blocks: DataFrame, ops: DataFrame) -> DataFrame:
     """Blocks with the valid operations applied in the order of ``seq``; of several for a field the last one holds.
 
-    Replaced tags are the list that was given last, with what was added after it."""
+    Replaced tags are the list that was given last, with what was added after it; no list is put together step by step."""
     valid = validate_patch(ops, blocks).where("rejected is null")
     pick = lambda f: F.max_by(F.when(F.col("field") == f, F.col("value")), F.when(F.col("field") == f, F.col("seq")))
-    steps = F.array_sort(F.collect_list(F.when(F.col("field") == "risk_tags", F.struct("seq", "op", "value"))))
-    last = valid.groupBy("doc_id", "block_id").agg(*[pick(f).alias(f"__{f}") for f in ("status", "reason", "confidence")], steps.alias("__tags"), F.count("*").alias("__n"))
+    step = lambda op: F.when((F.col("field") == "risk_tags") & (F.col("op") == op), F.struct("seq", "value"))
+    last = valid.groupBy("doc_id", "block_id").agg(*[pick(f).alias(f"__{f}") for f in ("status", "reason", "confidence")], F.max(step("replace")).alias("__given"), F.array_sort(F.collect_list(step("add"))).alias("__added"), F.count("*").alias("__n"))
     own = F.coalesce(F.col("risk_tags") if "risk_tags" in blocks.columns else F.lit(None).cast("array<string>"), F.array().cast("array<string>"))
-    tags = F.aggregate(F.coalesce("__tags", F.array().cast("array<struct<seq:bigint,op:string,value:string>>")), own, lambda t, s: F.when(s["op"] == "replace", _strings(s["value"])).otherwise(F.concat(t, F.array(s["value"]))))
+    given = F.col("__given")
+    later = lambda x: given.isNull() | F.coalesce(x["seq"] > given["seq"], given["seq"].isNull() & x["seq"].isNotNull())
+    added = F.transform(F.filter("__added", later), lambda x: x["value"])
+    tags = F.concat(F.when(given.isNull(), own).otherwise(_strings(given["value"])), F.coalesce(added, F.array().cast("array<string>")))
     out = blocks.join(last, ["doc_id", "block_id"], "left").withColumns({"patched": F.col("__n").isNotNull(), "risk_tags": tags, "status": F.coalesce("__status", "status")})
     if "reason" in blocks.columns:
         out = out.withColumn("reason", F.coalesce("__reason", "reason"))
     if "confidence" in blocks.columns:
         out = out.withColumn("confidence", F.coalesce(F.col("__confidence").try_cast("double"), F.col("confidence")))
-    return out.drop("__status", "__reason", "__confidence", "__tags", "__n")
+    return out.drop("__status", "__reason", "__confidence", "__given", "__added", "__n")
 
 
 def json_patch(answer: str | None) -> str | None:
