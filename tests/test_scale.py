@@ -15,8 +15,10 @@ from textloom.operators import curate as U
 from textloom.operators import diagnose as D
 from textloom.operators import feedback as K
 from textloom.operators import normalize as N
+from textloom.operators import pack as P
 from textloom.operators import quality as Q
 from textloom.operators import review as W
+from textloom.plans.prepare import prepare
 from textloom.rules import RuleSet
 
 DOCS = [(1, "# Title\n\nplain words here\n\n| a | b |\n| - | - |\n\n1. step one\n\nsign up now"), (2, "```\ncode"), (3, None)]
@@ -127,3 +129,18 @@ def test_tags_of_many_patches(spark):
     got = {r.block_id: r.risk_tags for r in W.apply_patch(blocks, ops).collect()}
     assert time.time() - began < 20
     assert got == {"b_0": ["old", *map(str, range(n))], "b_1": ["a", "b", "c", "d"], "b_2": [], "b_3": ["old"]}
+
+
+@pytest.mark.parametrize("packer", [P.chunks_generic, P.chunks_by_heading, P.chunks_by_page])
+def test_measures_of_chunks_need_no_chunks(spark, packer):
+    r = random.Random(7)
+    texts = lambda: r.choice(["```a", "x" * r.randint(1, 1500), "é" * 1300, "``` ```", "y" * 4000, "", "# h"])
+    rows = [(d, k, f"b_{k}", texts(), r.choice(["paragraph", "section_heading"]), r.choice(["keep", "keep", "discard"]), False, r.choice([None, "", "own ```"]), r.choice([None, k // 3])) for d in range(60) for k in range(r.randint(1, 12))]
+    blocks = spark.createDataFrame([*rows, (99, 0, "b_0", "gone", "paragraph", "discard", True, None, None)], "doc_id long, ord int, block_id string, text string, type string, status string, protected boolean, curated_text string, page_start int").withColumn("page_end", F.col("page_start"))
+    apart = Q.cleanup_measures(blocks).join(P.chunk_stats(P.assemble(blocks, packer(blocks))), "doc_id", "left")
+    got = Q.cleanup_measures(blocks, packer)
+    assert got.columns == apart.columns and sorted(map(str, got.collect())) == sorted(map(str, apart.collect()))
+
+
+def test_gates_make_blocks_once(spark):
+    assert optimized(prepare(spark.createDataFrame(DOCS, "doc_id long, text string")).gates).count("MapInArrow") == 1

@@ -49,7 +49,7 @@ def prepare(
         blocks = docs.sparkSession.read.schema(blocks.schema).parquet(f"{path}/blocks")
     chunks, warnings = P.dispatch(blocks, source_type, split_strategy)
     measures = Q.cleanup_measures(blocks)
-    gates = Q.gates(Q.with_messages(measures, P.chunk_stats(chunks), source_type=source_type))
+    gates = Q.gates(Q.with_messages(Q.cleanup_measures(blocks, P.packer_of(source_type, split_strategy)), source_type=source_type))
     diagnosis = D.text_quality(own).join(D.text_profile(own), "doc_id")
     return Prepared(diagnosis, blocks, chunks, measures, gates, R.cleaned_markdown(blocks), K.review_pack(blocks), warnings)
 
