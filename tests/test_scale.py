@@ -17,6 +17,7 @@ from textloom.operators import feedback as K
 from textloom.operators import normalize as N
 from textloom.operators import pack as P
 from textloom.operators import quality as Q
+from textloom.operators import render as R
 from textloom.operators import review as W
 from textloom.plans.prepare import prepare
 from textloom.rules import RuleSet
@@ -144,3 +145,18 @@ def test_measures_of_chunks_need_no_chunks(spark, packer):
 
 def test_gates_make_blocks_once(spark):
     assert optimized(prepare(spark.createDataFrame(DOCS, "doc_id long, text string")).gates).count("MapInArrow") == 1
+
+
+NOTES = [(1, "before any\n\n# How to\n\none\n\nsubscribe today\n\n## Why\n\ntwo\n\n# Steps: a Guide\n\nthree"), (2, "# Idea\n\n# Case\n\nx\n\n# Case\n\ny"), (3, "subscribe today"), (4, None), (5, "-\n # Odd\n\n# Other thing\n\nz")]
+
+
+def noted(spark):
+    return C.apply_rules(C.classify(B.blockify(spark.createDataFrame(NOTES, "doc_id long, text string"))))
+
+
+def test_source_map_makes_blocks_once(spark):
+    blocks = noted(spark)
+    found = R.source_map(blocks)
+    assert optimized(found).count("MapInArrow") == 1
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(found) == rows(R.source_map(blocks, R.sections(blocks))) and found.count() > 10

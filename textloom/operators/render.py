@@ -97,20 +97,30 @@ def _in_sections(blocks: DataFrame) -> DataFrame:
     return blocks.where("status = 'keep'").withColumn("section", F.sum((F.col("type") == "section_heading").cast("int")).over(upto))
 
 
+def _path(number: Column) -> Column:
+    return F.concat(F.col("category"), F.lit("/"), F.format_string("%03d-", number), safe_filename(F.col("title")), F.lit(".md"))
+
+
 def sections(blocks: DataFrame, categories=CATEGORIES) -> DataFrame:
     """Notes: kept blocks by the heading they follow, with a category by the title's terms and a number in it."""
     kept = _in_sections(blocks)
     notes = kept.groupBy("doc_id", "section").agg(F.min_by(F.when(F.col("type") == "section_heading", F.col("title")), "ord").alias("title"), F.count("*").alias("blocks"), F.sum(F.length("text")).alias("chars"))
     named = notes.withColumn("title", F.coalesce("title", F.lit("Untitled"))).withColumn("category", category_of(F.col("title"), categories))
     number = F.row_number().over(Window.partitionBy("doc_id", "category").orderBy("section"))
-    path = F.concat(F.col("category"), F.lit("/"), F.format_string("%03d-", number), safe_filename(F.col("title")), F.lit(".md"))
-    return named.select("doc_id", "section", "title", "category", "blocks", "chars", path.alias("path"))
+    return named.select("doc_id", "section", "title", "category", "blocks", "chars", _path(number).alias("path"))
+
 
+def source_map(blocks: DataFrame, notes: DataFrame | None = None, categories=CATEGORIES) -> DataFrame:
+    """(doc_id, block_id, type, note, heading): the note in which each kept block stands.
 
-def source_map(blocks: DataFrame, notes: DataFrame) -> DataFrame:
-    """(doc_id, block_id, type, note, heading): the note in which each kept block stands."""
-    own = _in_sections(blocks).select("doc_id", "section", "block_id", "type")
-    return own.join(notes.select("doc_id", "section", F.col("path").alias("note"), F.col("title").alias("heading")), ["doc_id", "section"]).drop("section")
+    Without ``notes`` they are those of ``sections``, told beside the blocks: these are made once, and nothing is joined."""
+    own = _in_sections(blocks)
+    if notes is not None:
+        return own.select("doc_id", "section", "block_id", "type").join(notes.select("doc_id", "section", F.col("path").alias("note"), F.col("title").alias("heading")), ["doc_id", "section"]).drop("section")
+    heading = F.first(F.when(F.col("type") == "section_heading", F.col("title"))).over(Window.partitionBy("doc_id", "section").orderBy("ord"))
+    slim = own.select("doc_id", "ord", "section", "block_id", "type", F.coalesce(heading, F.lit("Untitled")).alias("title"))
+    number = F.dense_rank().over(Window.partitionBy("doc_id", "category").orderBy("section"))
+    return slim.withColumn("category", category_of(F.col("title"), categories)).select("doc_id", "block_id", "type", _path(number).alias("note"), F.col("title").alias("heading"))
 
 
 def index_page(notes: DataFrame, blocks: DataFrame) -> DataFrame:
