@@ -160,3 +160,11 @@ def test_source_map_makes_blocks_once(spark):
     assert optimized(found).count("MapInArrow") == 1
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(found) == rows(R.source_map(blocks, R.sections(blocks))) and found.count() > 10
+
+
+def test_index_page_makes_blocks_once(spark):
+    blocks = noted(spark)
+    found = R.index_page(None, blocks)
+    assert optimized(found).count("MapInArrow") == 1
+    rows = dict(map(tuple, found.collect()))
+    assert rows == dict(map(tuple, R.index_page(R.sections(blocks), blocks).collect())) and "## case" in rows[2] and 3 in rows

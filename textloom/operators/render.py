@@ -123,15 +123,46 @@ def source_map(blocks: DataFrame, notes: DataFrame | None = None, categories=CAT
     return slim.withColumn("category", category_of(F.col("title"), categories)).select("doc_id", "block_id", "type", _path(number).alias("note"), F.col("title").alias("heading"))
 
 
-def index_page(notes: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(doc_id, markdown): how many blocks were kept, discarded and are for review, and links to the notes by category."""
-    counts = blocks.groupBy("doc_id").agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("keep", "discard", "review")])
+def index_page(notes: DataFrame | None, blocks: DataFrame, categories=CATEGORIES) -> DataFrame:
+    """(doc_id, markdown): how many blocks were kept, discarded and are for review, and links to the notes by category.
+
+    Without ``notes`` they are those of ``sections``, out of the same pass over the blocks."""
+    counted = lambda s: F.count_if(F.col("status") == s).alias(s)
+    head = F.concat(*[F.concat(F.lit(f"- {name}: "), F.col(c).cast("string"), F.lit("\n")) for name, c in (("kept", "keep"), ("discarded", "discard"), ("for review", "review"))])
+    if notes is None:
+        counts, lists = None, _listed_beside(blocks, categories, counted)
+    else:
+        counts, lists = blocks.groupBy("doc_id").agg(*map(counted, STATUSES)), _lists(notes)
+    whole = lists if counts is None else counts.join(lists, "doc_id", "left")
+    return whole.select("doc_id", F.concat(F.lit("## Blocks\n\n"), head, F.when(F.col("lists").isNotNull(), F.concat(F.lit("\n"), F.col("lists"))).otherwise("")).alias("markdown"))
+
+
+#: The statuses that an index counts.
+STATUSES = ("keep", "discard", "review")
+
+
+def _lists(notes: DataFrame, *sums: Column, also: tuple[Column, ...] = ()) -> DataFrame:
+    """(doc_id, lists): links to the notes by category, null without a note. Rows without a category name none."""
     link = F.concat(F.lit("- [["), F.regexp_replace("path", r"\.md$", ""), F.lit("|"), F.col("title"), F.lit("]]"))
-    per = notes.groupBy("doc_id", "category").agg(F.transform(F.array_sort(F.collect_list(F.struct("section", link.alias("l")))), lambda x: x["l"]).alias("links"))
+    named = F.col("category").isNotNull()
+    links = F.collect_list(F.when(named, F.struct("section", link.alias("l"))))
+    per = notes.groupBy("doc_id", "category").agg(F.transform(F.array_sort(links), lambda x: x["l"]).alias("links"), *sums)
     part = F.concat(F.lit("## "), F.col("category"), F.lit("\n\n"), F.array_join("links", "\n"))
-    lists = per.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("category", part.alias("p")))), lambda x: x["p"]), "\n\n").alias("lists"))
-    head = F.concat(*[F.concat(F.lit(f"- {name}: "), F.col(c).cast("string"), F.lit("\n")) for name, c in (("kept", "keep"), ("discarded", "discard"), ("for review", "review"))])
-    return counts.join(lists, "doc_id", "left").select("doc_id", F.concat(F.lit("## Blocks\n\n"), head, F.when(F.col("lists").isNotNull(), F.concat(F.lit("\n"), F.col("lists"))).otherwise("")).alias("markdown"))
+    parts = F.array_sort(F.collect_list(F.when(named, F.struct("category", part.alias("p")))))
+    whole = per.groupBy("doc_id").agg(parts.alias("parts"), *sums)
+    return whole.select("doc_id", F.when(F.size("parts") > 0, F.array_join(F.transform("parts", lambda x: x["p"]), "\n\n")).alias("lists"), *also)
+
+
+def _listed_beside(blocks: DataFrame, categories, counted) -> DataFrame:
+    """(doc_id, lists, keep, discard, review): the notes of ``sections`` and all blocks by status, in one pass."""
+    heads = (F.col("status") == "keep") & (F.col("type") == "section_heading")
+    upto = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    rows = blocks.withColumn("section", F.sum(heads.cast("int")).over(upto))
+    first = F.min_by(F.when(F.col("type") == "section_heading", F.col("title")), F.when(F.col("status") == "keep", F.col("ord")))
+    found = rows.groupBy("doc_id", "section").agg(F.coalesce(first, F.lit("Untitled")).alias("title"), *map(counted, STATUSES))
+    named = found.withColumn("category", F.when(F.col("keep") > 0, category_of(F.col("title"), categories)))
+    number = F.row_number().over(Window.partitionBy("doc_id", "category").orderBy("section"))
+    return _lists(named.withColumn("path", _path(number)), *[F.sum(s).alias(s) for s in STATUSES], also=tuple(map(F.col, STATUSES)))
 
 
 def write_blocks(blocks: DataFrame, path: str, batch: str) -> None:
