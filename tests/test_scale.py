@@ -168,3 +168,11 @@ def test_index_page_makes_blocks_once(spark):
     assert optimized(found).count("MapInArrow") == 1
     rows = dict(map(tuple, found.collect()))
     assert rows == dict(map(tuple, R.index_page(R.sections(blocks), blocks).collect())) and "## case" in rows[2] and 3 in rows
+
+
+def test_promotional_lines_make_blocks_once(spark):
+    text = "one\nLimited-time offer now\ntwo\nsubscribe today\n\nLimited-time offer\nsubscribe today\n\nplain"
+    found = C.split_promo(C.classify(B.blockify(spark.createDataFrame([(1, text)], "doc_id long, text string"))))
+    assert optimized(found).count("MapInArrow") == 1
+    rows = [(r.ord, r.sub_ord, r.text) for r in found.orderBy("ord", "sub_ord").collect()]
+    assert rows[:3] == [(0, 0, "one\ntwo"), (0, 1, "Limited-time offer now"), (0, 2, "subscribe today")] and len(rows) == 7

@@ -128,14 +128,16 @@ def split_promo(blocks: DataFrame, rules: RuleSet | None = None) -> DataFrame:
     cut = blocks.withColumn("__promo", F.when(several, F.filter(ls, is_promo)).otherwise(F.array().cast("array<string>"))).withColumn("__rest", F.filter(ls, lambda x: ~is_promo(x)))
     hit = F.size("__promo") > 0
     empty = hit & (F.size("__rest") == 0)
-    originals = cut.withColumns({
+    original = {
         "text": F.when(hit & ~empty, F.array_join("__rest", "\n")).otherwise(F.col("text")), "status": F.when(empty, "discard").otherwise(F.col("status")),
         "type": F.when(empty, "marketing_cta").otherwise(F.col("type")), "sub_ord": F.lit(0),
-    }).drop("__promo", "__rest")
-    derived = cut.where(hit).select(*[c for c in cut.columns if c not in ("__promo", "__rest")], F.posexplode("__promo").alias("__n", "__line")).withColumns({
-        "text": T.strip(F.col("__line")), "block_id": F.concat("block_id", F.format_string("_promo_%03d", F.col("__n") + 1)), "status": F.lit("discard"), "type": F.lit("marketing_cta"), "protected": F.lit(False), "sub_ord": F.col("__n") + 1,
-    }).drop("__n", "__line")
-    return originals.unionByName(derived)
+    }
+    line = lambda x, i: {
+        "text": T.strip(x), "block_id": F.concat("block_id", F.format_string("_promo_%03d", i + 1)), "status": F.lit("discard"), "type": F.lit("marketing_cta"), "protected": F.lit(False), "sub_ord": (i + 1).cast("int"),
+    }
+    row = lambda changed: F.struct(*[changed.get(c, F.col(c)).alias(c) for c in dict.fromkeys([*blocks.columns, "sub_ord"])])
+    derived = F.transform("__promo", lambda x, i: row(line(x, i)))
+    return cut.select(F.inline(F.concat(F.array(row(original)), derived)))  # both out of one pass over the blocks
 
 
 def tagged(tags: Column, tag: Column) -> Column:
