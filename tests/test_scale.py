@@ -20,6 +20,8 @@ from textloom.operators import quality as Q
 from textloom.operators import render as R
 from textloom.operators import review as W
 from textloom.plans.prepare import prepare
+from textloom.plans.queries import cleaned
+from textloom.plans.queries_more import MORE
 from textloom.rules import RuleSet
 
 DOCS = [(1, "# Title\n\nplain words here\n\n| a | b |\n| - | - |\n\n1. step one\n\nsign up now"), (2, "```\ncode"), (3, None)]
@@ -176,3 +178,11 @@ def test_promotional_lines_make_blocks_once(spark):
     assert optimized(found).count("MapInArrow") == 1
     rows = [(r.ord, r.sub_ord, r.text) for r in found.orderBy("ord", "sub_ord").collect()]
     assert rows[:3] == [(0, 0, "one\ntwo"), (0, 1, "Limited-time offer now"), (0, 2, "subscribe today")] and len(rows) == 7
+
+
+def test_publishable_makes_blocks_once(spark):
+    sf = "/root/testdata/sf0.001"
+    found, rows = MORE["publishable"](spark, sf), cleaned(spark, sf)
+    assert optimized(found).count("MapInArrow") == 1
+    joined = R.publishable(R.cleaned_markdown(rows), Q.gates(Q.with_messages(Q.cleanup_measures(rows)))).select("doc_id", "blocks")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, joined.collect()))

@@ -58,10 +58,11 @@ def status_counts(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("doc_id").agg(F.count("*").alias("blocks"), *[F.count_if(F.col("status") == s).alias(s) for s in statuses])
 
 
-def cleanup_measures(blocks: DataFrame, packer=None) -> DataFrame:
+def cleanup_measures(blocks: DataFrame, packer=None, also: dict[str, Column] | None = None) -> DataFrame:
     """Per document: share of eligible blocks discarded, share of eligible characters kept, protected blocks lost.
 
-    With a packer (of ``pack``) also the ``chunk_stats`` of its chunks, out of the same pass over the blocks."""
+    With a packer (of ``pack``) also the ``chunk_stats`` of its chunks, and the aggregates ``also``, out of the same pass over the blocks."""
+    also = also or {}
     rows = blocks.withColumns({"__eligible": counts_for_coverage(blocks), "__size": F.length("text")})
     eligible, gone, size = F.col("__eligible"), F.col("status") == "discard", F.col("__size")
     lost = lambda kind: F.count_if(gone & (F.col("type") == kind))
@@ -69,11 +70,12 @@ def cleanup_measures(blocks: DataFrame, packer=None) -> DataFrame:
         F.count_if(eligible).alias("eligible"), F.count_if(eligible & gone).alias("discarded"), F.coalesce(F.sum(F.when(eligible, size)), F.lit(0)).alias("chars"),
         F.coalesce(F.sum(F.when(eligible & (F.col("status") == "keep"), size)), F.lit(0)).alias("kept_chars"), F.count_if(gone & F.col("protected")).alias("protected_lost"),
         lost("operation_step").alias("steps_lost"), lost("code").alias("code_lost"), lost("table").alias("tables_lost"),
+        *[v.alias(k) for k, v in also.items()],
     )
     made = rows.groupBy("doc_id").agg(*own) if packer is None else P.stats_beside(rows, packer, *own)
     return made.select(
         "doc_id", "eligible", "discarded", F.when(F.col("eligible") > 0, F.round(F.col("discarded") / F.col("eligible"), 4)).otherwise(0.0).alias("discard_ratio"),
-        F.when(F.col("chars") > 0, F.round(F.col("kept_chars") / F.col("chars"), 4)).otherwise(1.0).alias("coverage"), "protected_lost", "steps_lost", "code_lost", "tables_lost", *(P.STATS if packer else ()),
+        F.when(F.col("chars") > 0, F.round(F.col("kept_chars") / F.col("chars"), 4)).otherwise(1.0).alias("coverage"), "protected_lost", "steps_lost", "code_lost", "tables_lost", *(P.STATS if packer else ()), *also,
     )
 
 

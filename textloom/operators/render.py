@@ -25,9 +25,14 @@ def _joined(text: Column, by: str = "\n\n") -> Column:
     return F.array_join(F.transform(rows, lambda r: r["x"]), by)
 
 
+def shown(blocks: DataFrame) -> Column:
+    """Whether a block stands in the cleaned text."""
+    return (F.col("status") == "keep") & (readable(blocks) != "")
+
+
 def cleaned_markdown(blocks: DataFrame) -> DataFrame:
     """(doc_id, blocks, markdown) of the kept blocks, in order."""
-    own = blocks.where(F.col("status") == "keep").withColumn("__t", readable(blocks)).where("__t <> ''")
+    own = blocks.where(shown(blocks)).withColumn("__t", readable(blocks))
     return own.groupBy("doc_id").agg(F.count("*").alias("blocks"), _joined(F.col("__t")).alias("markdown"))
 
 
